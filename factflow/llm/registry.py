@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from factflow.llm import exact_dedup
+from factflow.llm import exact_dedup, packing, token_files
 
 QUERIES = {
+    "op5_token_files": token_files.op5_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 SQL = {
