@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from factflow.llm import exact_dedup, packing, token_files
+from factflow.llm import exact_dedup, mixing, packing, token_files
 
 QUERIES = {
+    "op1_pareto_mixing": mixing.op1_pareto_mixing,
     "op5_token_files": token_files.op5_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
