@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from factflow.llm import exact_dedup, mixing, packing, token_files
+from factflow.llm import exact_dedup, mixing, packing, simhash, token_files
 
 QUERIES = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
     "op5_token_files": token_files.op5_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_simhash": simhash.op8_simhash,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
