@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,10 +22,11 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        name = Path(folder) / "factflow_package.zip"
-        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, Path(root.name) / p.relative_to(root))
-        spark.sparkContext.addPyFile(str(name))
-        _shipped.add(app)
+    folder = tempfile.mkdtemp(prefix="factflow-package-")  # executors that start later fetch it too
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = Path(folder) / "factflow_package.zip"
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    spark.sparkContext.addPyFile(str(name))
+    _shipped.add(app)
