@@ -53,15 +53,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _fingerprints_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = [_signed(fingerprint(t)) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(fps, pa.int64())})
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, row (a number that tells repeated rows apart) and fp (the fingerprint as a signed long) of each row of `docs`."""
 
+    def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [_signed(fingerprint(t, shingle)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "fp": pa.array(fps, pa.int64())})
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row of `docs`."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints_of, "doc_id BIGINT, fp BIGINT")
+    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(made, "doc_id BIGINT, row BIGINT, fp BIGINT")
 
 
 def flips(bits: range, most: int) -> list[np.ndarray]:
@@ -197,24 +198,36 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 64
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _classes(fps: DataFrame, radius: int) -> DataFrame:
+    """For each fingerprint of the stored table `fps`: fp, n_rows, root (its component's), least (the smallest of its rows)."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    groups = stored(fps.groupBy("fp").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n_rows")), "simhash-groups")
+    roots = components(links(groups, groups.count(), radius), "simhash-components")
+    return groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", "n_rows", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id for each row of `docs` (doc_id, text).
 
     component_id is the smallest doc_id that is reachable by links between fingerprints at `radius` or fewer bits. Null
     and empty texts have fingerprint 0 and are linked like any other. Null doc_ids are linked but never smallest, unless
     there is no other. Repeated rows are rows of one fingerprint. Columns other than these two are not read.
     """
-    fps = stored(fingerprints(docs), "simhash")
-    groups = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows")), "simhash-groups")
-    n = groups.count()
-    roots = components(links(groups, n, radius), "simhash-components")
-    # every fingerprint with its component's root fingerprint, then the component's smallest doc_id
-    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", "n_rows", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(smallest, "root").select("fp", "n_rows", "component_id"), "simhash-classes")
+    fps = stored(fingerprints(docs, shingle), "simhash")
+    classes = _classes(fps, radius)
+    smallest = classes.groupBy("root").agg(F.min("least").alias("_least"))
+    named = stored(classes.join(smallest, "root").select("fp", "n_rows", F.col("_least.doc_id").alias("component_id")), "simhash-classes")
     return _assign(fps, named, fps.count())
 
 
+def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stay: of each component the one with the smallest doc_id."""
+    keyed = stored(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "simhash-rows")
+    fps = stored(fingerprints(keyed.select("_doc.doc_id", "_doc.text", "_row"), shingle), "simhash")
+    kept = stored(_classes(fps, radius).groupBy("root").agg(F.min("least").alias("_least")).select(F.col("_least.row").alias("_kept")), "simhash-kept")
+    return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select("_doc.*")
+
+
 def _assign(fps: DataFrame, named: DataFrame, n_rows: int, share: float = 1 / 4096) -> DataFrame:
     """Give rows their fingerprint's class. Fingerprints with over `share` of the rows, at most 1 / share, are broadcast."""
     limit = max(64, int(n_rows * share))
