@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from factflow.llm import exact_dedup, licenses, mixing, packing, simhash, token_files, toxicity, warc
+from factflow.llm import exact_dedup, licenses, lm, mixing, packing, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_lm_scoring": lm.op3_lm_scoring,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_files": token_files.op5_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
