@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factflow.llm.common import stored, table
+from factflow.llm.common import slices, stored, table
 
 #: Most labelled training rows that lexicons and classifier are fitted to (those with the smallest hash of doc_id).
 SAMPLE = 16_384
@@ -276,7 +276,7 @@ def _sketch(text: str) -> int:
 
 
 def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         feats = [" ".join(sorted(features_of(t))) for t in texts]
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "sketch": pa.array(map(_sketch, texts), pa.int64()), "feats": pa.array(feats, pa.string())})
@@ -345,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Detector:
     linear = Linear(lexicon + [f for f in common if f not in own])
 
     def indexed(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [set(x.split(" ")) for x in batch.column("feats").to_pylist()]
             votes = [_pattern(voters.votes("", x)) for x in sets]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "pattern": pa.array(votes, pa.int64()), "at": pa.array([x.tolist() for x in linear.rows(x | voters.counts(x) for x in sets)], pa.list_(pa.int32()))})
@@ -369,7 +369,7 @@ def score(docs: DataFrame, detector: Detector) -> DataFrame:
     """
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             feats = [features_of(t) for t in texts]
             votes = np.array([detector.voters.votes(t, f) for t, f in zip(texts, feats, strict=True)], dtype=np.int64).reshape(len(texts), -1)
