@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factflow.llm import exact_dedup, licenses, lm, mixing, packing, simhash, token_files, toxicity, warc
+from factflow.llm import exact_dedup, licenses, lm, media, mixing, packing, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_warc_derivatives": warc.op7_warc_derivatives,
     "op8_simhash": simhash.op8_simhash,
+    "op9_media_copies": media.op9_media_copies,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
