@@ -2,55 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
 import struct
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of the contracts: runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that is unset (one machine, as in tests) a temporary folder is made and set for this session.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        _own_dirs[app] = tempfile.mkdtemp(prefix="factflow-")
-        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-    return f"file://{_own_dirs[app]}"
+from factflow.shared import scratch_path, shared_dir, stored
 
+__all__ = ["WORD", "TokenIds", "ascii_lower", "ascii_lower_bytes", "scratch_path", "shared_dir", "slices", "stored", "table", "token_ids", "vocabulary_path"]
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write `df` as a table in the shared folder and return a DataFrame that reads it.
-
-    Cuts the lineage in a way that outlives any executor: a lost task rereads files, and what is written once
-    is not computed again by the plans that follow.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+#: Words of the contracts: runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
