@@ -62,15 +62,20 @@ class _Relation:
 
     def __init__(self, name: str, columns: list[str], spark: SparkSession, types: str):
         self.name, self.columns = name, columns
-        self.all = self.delta = empty(spark, types)
-        self.parts = 0
+        self.none = self.all = self.delta = empty(spark, types)
+        self.fresh, self.parts = False, 0
 
-    def add(self, candidates: DataFrame) -> bool:
-        new = stored(candidates.select(*self.columns).distinct().join(self.all, self.columns, "left_anti").select(*self.columns), self.name)
-        self.delta = new
+    def add(self, candidates: list[DataFrame]) -> bool:
+        """Keep what is new among `candidates`; with none there is nothing to run."""
+        self.fresh, self.delta = False, self.none
+        if not candidates:
+            return False
+        rows = closure.union([c.select(*self.columns) for c in candidates]).distinct()
+        new = stored(rows.join(self.all, self.columns, "left_anti").select(*self.columns) if self.parts else rows, self.name)
         if new.isEmpty():
             return False
-        self.all = self.all.unionByName(new)
+        self.fresh, self.delta = True, new
+        self.all = self.all.unionByName(new) if self.parts else new
         self.parts += 1
         if self.parts % 6 == 0:
             self.all = stored(self.all, self.name)
@@ -90,18 +95,21 @@ def solve(spark: SparkSession, facts: Facts, context_limit: int = callgraph.CONT
     args = facts.arguments.select("call_id", "arg_index", "arg_var")
     supers = callgraph.supernodes(facts.calls, supernode_limit).select(F.col("static_callee").alias("target"))
     summaries = facts.summaries if facts.summaries is not None else empty(spark, "method_fqn STRING, param_index INT")
-    anc = stored(hierarchy.ancestors(facts.hierarchy, facts.declarations), "ancestors")
-    wanted = (
-        alloc.select(F.col("class_fqn")).distinct().join(anc, "class_fqn")
-        .join(facts.declarations.select(F.col("class_fqn").alias("ancestor"), "method_name"), "ancestor")
-        .join(calls.where("receiver is not null").select("method_name", "sig").distinct(), "method_name")
-        .select(F.col("class_fqn").alias("alloc_type"), "method_name", "sig")
-    )
-    dispatch = stored(hierarchy.dispatch(anc, facts.declarations, wanted), "dispatch")
-    ext = extensions.Extensions(facts, anc, alloc)
-
-    handled_names = ext.handled(calls)
-    standard = stored(calls.join(handled_names, "call_id", "left_anti"), "standard-calls")
+    has_calls, third_stratum = not calls.isEmpty(), facts.method_annotations is not None
+    anc = dispatch = ext = None
+    standard = calls
+    if has_calls or third_stratum:
+        anc = stored(hierarchy.ancestors(facts.hierarchy, facts.declarations), "ancestors")
+        wanted = (
+            alloc.select(F.col("class_fqn")).distinct().join(anc, "class_fqn")
+            .join(facts.declarations.select(F.col("class_fqn").alias("ancestor"), "method_name"), "ancestor")
+            .join(calls.where("receiver is not null").select("method_name", "sig").distinct(), "method_name")
+            .select(F.col("class_fqn").alias("alloc_type"), "method_name", "sig")
+        )
+        dispatch = stored(hierarchy.dispatch(anc, facts.declarations, wanted), "dispatch")
+        ext = extensions.Extensions(facts, anc, alloc)
+        handled_names = ext.handled(calls)
+        standard = stored(calls.join(handled_names, "call_id", "left_anti"), "standard-calls")
 
     pts, fld = _Relation("pts", PTS, spark, _strings(PTS)), _Relation("fields", FLD, spark, _strings(FLD))
     flow, active = _Relation("flow", FLOW, spark, _strings(FLOW)), _Relation("active", ["method_fqn", "context"], spark, "method_fqn STRING, context STRING")
@@ -109,77 +117,103 @@ def solve(spark: SparkSession, facts: Facts, context_limit: int = callgraph.CONT
     reso = _Relation("resolved", ["call_id", "context", "target", "is_virtual"], spark, "call_id STRING, context STRING, target STRING, is_virtual INT")
 
     methods = closure.union([facts.assignments.select("method_fqn"), facts.calls.select("method_fqn"), facts.allocations.select("method_fqn")])
-    pending_active = methods.where("method_fqn is not null").distinct().withColumn("context", F.lit(""))
-    pending_pts, pending_edges = empty(spark, _strings(PTS)), empty(spark, _strings(EDGE) + ", is_virtual INT")
-    writes = assign.where("assignment_type = 'FIELD_WRITE'").select("method_fqn", N.field_base(F.col("lhs")).alias("base"), N.field_name(F.col("lhs")).alias("field"), F.col("rhs").alias("src"))
-    reads = assign.where("assignment_type = 'FIELD_READ'").select("method_fqn", N.field_base(F.col("rhs")).alias("base"), N.field_name(F.col("rhs")).alias("field"), F.col("lhs").alias("dst"))
+    pending_active = [methods.where("method_fqn is not null").distinct().withColumn("context", F.lit(""))]
+    pending_pts: list[DataFrame] = []
+    pending_edges: list[DataFrame] = []
+    kinds = {r.assignment_type for r in assign.select("assignment_type").distinct().collect()}
+    writes = stored(assign.where("assignment_type = 'FIELD_WRITE'").select("method_fqn", N.field_base(F.col("lhs")).alias("base"), N.field_name(F.col("lhs")).alias("field"), F.col("rhs").alias("src")), "writes")
+    reads = stored(assign.where("assignment_type = 'FIELD_READ'").select("method_fqn", N.field_base(F.col("rhs")).alias("base"), N.field_name(F.col("rhs")).alias("field"), F.col("lhs").alias("dst")), "reads")
+    copies = stored(assign.where("assignment_type = 'COPY'").select("method_fqn", F.col("rhs").alias("src"), F.col("lhs").alias("dst")), "copies")
+    made = stored(assign.where("assignment_type = 'ALLOC'").select("method_fqn", F.col("lhs").alias("var"), F.col("rhs").alias("alloc")), "made")
+    has_slots = not made.where("var like 'SpringBeanAlloc:%.%'").isEmpty()
 
     of = lambda p, var, *out: p.select("context", F.col("var").alias(var), F.col("alloc_context").alias(out[0]), F.col("alloc").alias(out[1]))
+    moved = lambda p, f: p.join(f, (p["context"] == f["src_context"]) & (p["var"] == f["src"])).select(F.col("dst_context").alias("context"), F.col("dst").alias("var"), "alloc_context", "alloc")
+    read = lambda x, p, f: x.join(of(p, "base", "alloc_context", "alloc"), ["context", "base"]).join(f, ["alloc_context", "alloc", "field"]).select("context", F.col("dst").alias("var"), F.col("value_context").alias("alloc_context"), F.col("value").alias("alloc"))
+    write = lambda x, p, q: x.join(of(p, "base", "alloc_context", "alloc"), ["context", "base"]).join(of(q, "src", "value_context", "value"), ["context", "src"]).select(*FLD)
     stage, sums = 1, stored(summaries, "summaries")
     for _ in range(most_rounds):
         grew = active.add(pending_active)
+        next_pts, next_fld, flows, pending_active, found_edges = [], [], [], [], list(pending_edges)
+        next_pts += pending_pts
         on = active.all
-        # resolved calls: virtual ones by the objects of their receivers, later static ones
-        live = standard.join(on, "method_fqn")
-        receivers = pts.delta.select("context", F.col("var").alias("receiver"), "alloc")
-        fresh_calls = standard.join(active.delta, "method_fqn").where("receiver is not null").join(pts.all.select("context", F.col("var").alias("receiver"), "alloc"), ["context", "receiver"])
-        typed = live.join(receivers, ["context", "receiver"]).select(*standard.columns, "context", "alloc").unionByName(fresh_calls.select(*standard.columns, "context", "alloc"))
-        virtual = (
-            typed.join(alloc, F.col("alloc") == F.col("alloc_id")).join(dispatch, (F.col("class_fqn") == F.col("alloc_type")) & (typed["method_name"] == dispatch["method_name"]) & (typed["sig"] == dispatch["sig"]))
-            .select("call_id", "context", "target", F.lit(1).alias("is_virtual"))
-        )
-        candidates = [virtual]
-        if stage >= 2:
-            silent = live.where("static_callee is not null").join(pts.all.select("context", F.col("var").alias("receiver")).distinct(), ["context", "receiver"], "left_anti")
-            candidates.append(silent.select("call_id", "context", F.col("static_callee").alias("target"), F.lit(0).alias("is_virtual")))
-        reso.add(closure.union(candidates))
-        new = reso.delta.join(calls, "call_id").withColumn("callee_context", callgraph.callee_context(F.col("context"), F.col("call_id"), F.lit(sensitive)))
-        found_edges = new.select(F.col("context").alias("caller_context"), N.strip_signature(F.col("method_fqn")).alias("caller"), "callee_context", N.strip_signature(F.col("target")).alias("callee"), "is_virtual")
-        is_super = new.join(supers, "target", "left_semi")
-        plain = new.join(supers, "target", "left_anti")
-        summed = plain.join(sums.select(F.col("method_fqn").alias("target"), "param_index"), "target")
-        body = plain.join(sums.select(F.col("method_fqn").alias("target")).distinct(), "target", "left_anti")
-        flows = [
-            summed.join(args, (summed["call_id"] == args["call_id"]) & (F.col("param_index") == F.col("arg_index"))).where("lhs is not null").select(F.col("context").alias("src_context"), F.col("arg_var").alias("src"), F.col("context").alias("dst_context"), F.col("lhs").alias("dst")),
-            body.where("receiver is not null").select(F.col("context").alias("src_context"), F.col("receiver").alias("src"), F.col("callee_context").alias("dst_context"), F.concat("target", F.lit("#this")).alias("dst")),
-            body.join(args, "call_id").select(F.col("context").alias("src_context"), F.col("arg_var").alias("src"), F.col("callee_context").alias("dst_context"), F.concat("target", F.lit("#p"), F.col("arg_index").cast("string")).alias("dst")),
-            body.where("lhs is not null").select(F.col("callee_context").alias("src_context"), F.concat("target", F.lit("#return")).alias("src"), F.col("context").alias("dst_context"), F.col("lhs").alias("dst")),
-            assign.where("assignment_type = 'COPY'").join(active.delta, "method_fqn").select(F.col("context").alias("src_context"), F.col("rhs").alias("src"), F.col("context").alias("dst_context"), F.col("lhs").alias("dst")),
-        ]
-        grew |= flow.add(closure.union(flows).where("src is not null"))
-        grew |= edges.add(found_edges.unionByName(pending_edges))
-        # points-to: allocations of newly active methods, flow from new rows and along new flow, reads
-        w, r = writes.join(on, "method_fqn"), reads.join(on, "method_fqn")
-        w_new, r_new = writes.join(active.delta, "method_fqn"), reads.join(active.delta, "method_fqn")
-        moved = lambda p, f: p.join(f, (p["context"] == f["src_context"]) & (p["var"] == f["src"])).select(F.col("dst_context").alias("context"), F.col("dst").alias("var"), "alloc_context", "alloc")
-        read = lambda x, p, f: x.join(of(p, "base", "alloc_context", "alloc"), ["context", "base"]).join(f, ["alloc_context", "alloc", "field"]).select("context", F.col("dst").alias("var"), F.col("value_context").alias("alloc_context"), F.col("value").alias("alloc"))
-        write = lambda x, p, q: x.join(of(p, "base", "alloc_context", "alloc"), ["context", "base"]).join(of(q, "src", "value_context", "value"), ["context", "src"]).select(*FLD)
-        allocs = assign.where("assignment_type = 'ALLOC'").join(active.delta, "method_fqn").select("context", F.col("lhs").alias("var"), F.col("context").alias("alloc_context"), F.col("rhs").alias("alloc"))
-        returned = is_super.where("lhs is not null").select("context", F.col("lhs").alias("var"), F.lit("").alias("alloc_context"), F.concat(F.lit("SupernodeReturn:"), "target").alias("alloc"))
-        next_pts = closure.union([allocs, returned, pending_pts, moved(pts.delta, flow.all), moved(pts.all, flow.delta), read(r, pts.delta, fld.all), read(r, pts.all, fld.delta), read(r_new, pts.all, fld.all)])
-        # what is injected into a field slot is in that field of every object of the class
-        slot = F.regexp_extract("var", r"(?s)^SpringBeanAlloc:(.*)\.([^.]*)$", 1)
-        slots = pts.delta.where("var like 'SpringBeanAlloc:%.%'").select(slot.alias("class_fqn"), F.regexp_extract("var", r"(?s)^SpringBeanAlloc:(.*)\.([^.]*)$", 2).alias("field"), F.col("alloc_context").alias("value_context"), F.col("alloc").alias("value"))
-        injected = slots.join(alloc, "class_fqn").select(F.lit("").alias("alloc_context"), F.col("alloc_id").alias("alloc"), "field", "value_context", "value")
-        next_fld = closure.union([write(w, pts.delta, pts.all), write(w, pts.all, pts.delta), write(w_new, pts.all, pts.all), injected])
-        # a full name becomes active in the context that it was called in
-        pending_active = body.select(F.col("target").alias("method_fqn"), F.col("callee_context").alias("context"))
-        next_pts, next_fld = stored(next_pts, "next-pts"), stored(next_fld, "next-fields")
+        if has_calls:
+            # resolved calls: virtual ones by the objects of their receivers, later static ones
+            live = standard.join(on, "method_fqn")
+            typed = []
+            if pts.fresh:
+                typed.append(live.join(pts.delta.select("context", F.col("var").alias("receiver"), "alloc"), ["context", "receiver"]).select(*standard.columns, "context", "alloc"))
+            if active.fresh and pts.parts:
+                typed.append(standard.join(active.delta, "method_fqn").join(pts.all.select("context", F.col("var").alias("receiver"), "alloc"), ["context", "receiver"]).select(*standard.columns, "context", "alloc"))
+            candidates = []
+            if typed:
+                t = closure.union(typed).join(alloc, F.col("alloc") == F.col("alloc_id")).withColumnRenamed("class_fqn", "alloc_type")
+                candidates.append(t.join(dispatch, ["alloc_type", "method_name", "sig"]).select("call_id", "context", "target", F.lit(1).alias("is_virtual")))
+            if stage >= 2:
+                silent = live.where("static_callee is not null").join(pts.all.select("context", F.col("var").alias("receiver")).distinct(), ["context", "receiver"], "left_anti")
+                candidates.append(silent.select("call_id", "context", F.col("static_callee").alias("target"), F.lit(0).alias("is_virtual")))
+            if reso.add(candidates):
+                new = reso.delta.join(calls, "call_id").withColumn("callee_context", callgraph.callee_context(F.col("context"), F.col("call_id"), F.lit(sensitive)))
+                found_edges.append(new.select(F.col("context").alias("caller_context"), N.strip_signature(F.col("method_fqn")).alias("caller"), "callee_context", N.strip_signature(F.col("target")).alias("callee"), "is_virtual"))
+                is_super = new.join(supers, "target", "left_semi")
+                plain = new.join(supers, "target", "left_anti")
+                summed = plain.join(sums.select(F.col("method_fqn").alias("target"), "param_index"), "target")
+                body = plain.join(sums.select(F.col("method_fqn").alias("target")).distinct(), "target", "left_anti")
+                by_summary = summed.join(args.withColumnRenamed("call_id", "_call"), (F.col("call_id") == F.col("_call")) & (F.col("param_index") == F.col("arg_index")))
+                flows += [
+                    by_summary.where("lhs is not null").select(F.col("context").alias("src_context"), F.col("arg_var").alias("src"), F.col("context").alias("dst_context"), F.col("lhs").alias("dst")),
+                    body.where("receiver is not null").select(F.col("context").alias("src_context"), F.col("receiver").alias("src"), F.col("callee_context").alias("dst_context"), F.concat("target", F.lit("#this")).alias("dst")),
+                    body.join(args, "call_id").select(F.col("context").alias("src_context"), F.col("arg_var").alias("src"), F.col("callee_context").alias("dst_context"), F.concat("target", F.lit("#p"), F.col("arg_index").cast("string")).alias("dst")),
+                    body.where("lhs is not null").select(F.col("callee_context").alias("src_context"), F.concat("target", F.lit("#return")).alias("src"), F.col("context").alias("dst_context"), F.col("lhs").alias("dst")),
+                ]
+                next_pts.append(is_super.where("lhs is not null").select("context", F.col("lhs").alias("var"), F.lit("").alias("alloc_context"), F.concat(F.lit("SupernodeReturn:"), "target").alias("alloc")))
+                # a full name becomes active in the context that it was called in
+                pending_active.append(body.select(F.col("target").alias("method_fqn"), F.col("callee_context").alias("context")))
+        if active.fresh:
+            if "COPY" in kinds:
+                flows.append(copies.join(active.delta, "method_fqn").select(F.col("context").alias("src_context"), "src", F.col("context").alias("dst_context"), "dst"))
+            next_pts.append(made.join(active.delta, "method_fqn").select("context", "var", F.col("context").alias("alloc_context"), "alloc"))
+        grew |= flow.add([f.where("src is not null") for f in flows])
+        grew |= edges.add(found_edges)
+        # flow from new rows and along new flow; writes and reads with either side new, or in newly active methods
+        if pts.fresh and flow.parts:
+            next_pts.append(moved(pts.delta, flow.all))
+        if flow.fresh and pts.parts:
+            next_pts.append(moved(pts.all, flow.delta))
+        if "FIELD_READ" in kinds and fld.parts and pts.parts:
+            r = reads.join(on, "method_fqn")
+            next_pts += [read(r, pts.delta, fld.all)] * pts.fresh + [read(r, pts.all, fld.delta)] * fld.fresh
+            if active.fresh:
+                next_pts.append(read(reads.join(active.delta, "method_fqn"), pts.all, fld.all))
+        if "FIELD_WRITE" in kinds and pts.parts:
+            w = writes.join(on, "method_fqn")
+            next_fld += [write(w, pts.delta, pts.all), write(w, pts.all, pts.delta)] if pts.fresh else []
+            if active.fresh:
+                next_fld.append(write(writes.join(active.delta, "method_fqn"), pts.all, pts.all))
+        if has_slots and pts.fresh:
+            # what is injected into a field slot is in that field of every object of the class
+            part = lambda k: F.regexp_extract("var", r"(?s)^SpringBeanAlloc:(.*)\.([^.]*)$", k)
+            slots = pts.delta.where("var like 'SpringBeanAlloc:%.%'").select(part(1).alias("class_fqn"), part(2).alias("field"), F.col("alloc_context").alias("value_context"), F.col("alloc").alias("value"))
+            next_fld.append(slots.join(alloc, "class_fqn").select(F.lit("").alias("alloc_context"), F.col("alloc_id").alias("alloc"), "field", "value_context", "value"))
+        # plans of this round's candidates are fixed by now: neither relation's growth changes the other's
         grew |= fld.add(next_fld)
         grew |= pts.add(next_pts)
-        pending_pts, pending_edges = empty(spark, _strings(PTS)), empty(spark, _strings(EDGE) + ", is_virtual INT")
-        pending_active = stored(pending_active.distinct().join(active.all, ["method_fqn", "context"], "left_anti"), "next-active")
-        if grew or not pending_active.isEmpty():
+        pending_pts, pending_edges = [], []
+        if grew:
             continue
         if stage == 1:
             stage = 2
             continue
+        if facts.method_annotations is None:
+            return Solution(pts.all, fld.all, edges.all, sensitive)
         more_pts, more_edges = ext.third(calls, active.all, pts.all, edges.all, reso.all, F.lit(sensitive))
         more_pts = stored(more_pts.distinct().join(pts.all, PTS, "left_anti"), "extension-pts")
         more_edges = stored(more_edges.distinct().join(edges.all, [*EDGE, "is_virtual"], "left_anti"), "extension-edges")
-        if stage == 3 and more_pts.isEmpty() and more_edges.isEmpty():
+        pending_pts = [] if more_pts.isEmpty() else [more_pts]
+        pending_edges = [] if more_edges.isEmpty() else [more_edges]
+        if not pending_pts and not pending_edges:
             return Solution(pts.all, fld.all, edges.all, sensitive)
-        stage, pending_pts, pending_edges = 3, more_pts, more_edges
+        stage = 3
     raise RuntimeError(f"points-to: no fixpoint after {most_rounds} rounds")
 
 

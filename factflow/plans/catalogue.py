@@ -407,9 +407,9 @@ def web_routes(spark, sf_dir):
     return _routes(spark, sf_dir)
 
 
-@query("routes_filtered", _routes_sql("WHERE http_method = 'GET' AND CASE WHEN full_path = '' THEN '/' ELSE regexp_replace(full_path, '(.)/$', '\\1') END = '/base2'"))
+@query("routes_filtered", _routes_sql("WHERE http_method = 'GET' AND CASE WHEN full_path = '' THEN '/' ELSE regexp_replace(full_path, '(.)/$', '\\1') END = '/base30'"))
 def routes_filtered(spark, sf_dir):
-    return callgraph.routes(_routes(spark, sf_dir), "/base2", "GET")
+    return callgraph.routes(_routes(spark, sf_dir), "/base30", "GET")
 
 
 _OLD, _NEW = sql("old_files"), sql("new_files")
