@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factflow.shared import stored
+from factflow.shared import stored, stored_rows
 
 #: More rounds than any of these relations needs; going past it is an error, never a cut result.
 MOST_ROUNDS = 200
@@ -32,8 +32,8 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], key: list[
     known = [fresh]
     for _ in range(most_rounds):
         found = step(fresh).dropDuplicates(key).join(union(known), key, "left_anti")
-        fresh = stored(found.select(*seed.columns), name)
-        if fresh.isEmpty():
+        fresh, n = stored_rows(found.select(*seed.columns), name)
+        if not n:
             return union(known)
         known.append(fresh)
         if len(known) > 8:

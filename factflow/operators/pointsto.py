@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from factflow.functions import names as N
 from factflow.operators import callgraph, closure, extensions, hierarchy
-from factflow.shared import stored
+from factflow.shared import stored, stored_rows
 
 PTS = ["context", "var", "alloc_context", "alloc"]
 FLD = ["alloc_context", "alloc", "field", "value_context", "value"]
@@ -71,8 +71,8 @@ class _Relation:
         if not candidates:
             return False
         rows = closure.union([c.select(*self.columns) for c in candidates]).distinct()
-        new = stored(rows.join(self.all, self.columns, "left_anti").select(*self.columns) if self.parts else rows, self.name)
-        if new.isEmpty():
+        new, n = stored_rows(rows.join(self.all, self.columns, "left_anti").select(*self.columns) if self.parts else rows, self.name)
+        if not n:
             return False
         self.fresh, self.delta = True, new
         self.all = self.all.unionByName(new) if self.parts else new

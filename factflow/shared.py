@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 
@@ -40,3 +41,10 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_rows(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """`stored`, and the number of rows that were written, counted by the write itself."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, int(seen.get.get("n") or 0)
