@@ -23,6 +23,8 @@ from factflow.shared import stored, stored_rows
 PTS = ["context", "var", "alloc_context", "alloc"]
 FLD = ["alloc_context", "alloc", "field", "value_context", "value"]
 EDGE = ["caller_context", "caller", "callee_context", "callee"]
+#: Steps along known flow that a round takes.
+HOPS = 3
 FLOW = ["src_context", "src", "dst_context", "dst"]
 
 
@@ -177,7 +179,11 @@ def solve(spark: SparkSession, facts: Facts, context_limit: int = callgraph.CONT
         grew |= edges.add(found_edges)
         # flow from new rows and along new flow; writes and reads with either side new, or in newly active methods
         if pts.fresh and flow.parts:
-            next_pts.append(moved(pts.delta, flow.all))
+            # several hops a round: a call's way through this, return and left side is one round instead of three
+            hop = pts.delta
+            for _hop in range(HOPS):
+                hop = moved(hop, flow.all).select(*PTS).distinct()
+                next_pts.append(hop)
         if flow.fresh and pts.parts:
             next_pts.append(moved(pts.all, flow.delta))
         if "FIELD_READ" in kinds and fld.parts and pts.parts:
