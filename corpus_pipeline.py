@@ -30,7 +30,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of SimHash links the document with the smallest doc_id."""
+    """Of each component of texts with a shingle similarity of 0.8 or more the document with the smallest doc_id."""
     ship(spark)
     return simhash.keep_one(docs, shingle=SHINGLE)
 

@@ -27,6 +27,12 @@ from pyspark.sql import functions as F
 from factflow.llm.common import ascii_lower_bytes, stored, table
 
 BITS, SHINGLE, SEED, RADIUS = 64, 4, 42, 4
+#: Near copies by Jaccard similarity: this ratio or more. Texts have SKETCH fingerprints, whose bits are cut into TABLES
+#: blocks of BLOCK bits that meet at two bits or fewer; at a similarity of 0.8 a bit differs with chance 0.151, so a pair
+#: meets with chance 0.988. Two more words, in at most CHECKED of 128 bits, keep chance meetings out.
+SIMILAR, SKETCH, BLOCK, TABLES, CHECKED = (4, 5), 12, 28, 22, 46
+#: Longer runs of equal blocks are one set of block_meetings without a look at their pairs.
+RUN = 64
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -220,12 +226,197 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return _assign(fps, named, fps.count())
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of `docs`, with all their columns, that stay: of each component the one with the smallest doc_id."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct XXH64 (seed 42) of a text's shingles, sorted; a text shorter than a shingle is one, no words are none."""
+    words = _WORDS.findall(ascii_lower_bytes((text or "").encode()))
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
+    starts = np.cumsum([0, *[len(w) + 1 for w in words]]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, starts[shingle:], strict=False)], np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of SIMILAR or more. Two empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * SIMILAR[1] >= SIMILAR[0] * (len(a) + len(b) - both)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH independent fingerprints of a set of shingles, a word each."""
+    ones = np.zeros(SKETCH * BITS, np.int64)
+    salt = np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 255):
+        z = hashes[at : at + 255, None] + salt
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        # at most 255 rows, so that a byte holds a sum
+        ones += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def _sketched(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, words = [], []
+        for t in batch.column("text").to_pylist():
+            h = shingle_hashes(t, shingle)
+            keys.append(xxhash.xxh3_128_digest(h.tobytes()))
+            words.append(sketch(h).tobytes())
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "key": pa.array(keys, pa.binary()), "sketch": pa.array(words, pa.binary())})
+
+
+_CELL_ROWS = "cell BIGINT, node BIGINT, block BIGINT, c0 BIGINT, c1 BIGINT"
+_MEETINGS = "a BIGINT, b BIGINT, run BIGINT, c0 BIGINT, c1 BIGINT"
+
+
+def _block_cells(batches: Iterable[pa.RecordBatch], lead: int) -> Iterator[pa.RecordBatch]:
+    masks = np.array([0, *[1 << k for k in range(lead)]], np.int64)
+    weights = 1 << np.arange(BLOCK, dtype=np.int64)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 4096):
+            batch = whole.slice(at, 4096)
+            raw = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH)
+            bits = np.unpackbits(np.ascontiguousarray(raw).view(np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")
+            fixed = [np.repeat(x, len(masks)) for x in (batch.column("node").to_numpy(), raw[:, -2].view(np.int64), raw[:, -1].view(np.int64))]
+            for t in range(TABLES):
+                block = bits[:, t * BLOCK : (t + 1) * BLOCK].astype(np.int64) @ weights
+                cell = (np.int64(t) << lead) | ((block[:, None] >> (BLOCK - lead)) ^ masks)
+                cols = (cell.ravel(), fixed[0], np.repeat(block, len(masks)), fixed[1], fixed[2])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["cell", "node", "block", "c0", "c1"])
+
+
+def _checked(c0: np.ndarray, c1: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    # counted as unsigned: of a negative number the bits of its absolute value are counted
+    apart = [np.bitwise_count((c[x] ^ c[y]).view(np.uint64)).astype(np.int64) for c in (c0, c1)]
+    return apart[0] + apart[1] <= CHECKED
+
+
+def block_meetings(cell: int, node: np.ndarray, block: np.ndarray, c0: np.ndarray, c1: np.ndarray, lead: int) -> list[np.ndarray]:
+    """Rows of _MEETINGS (-1 is null) for one cell: its nodes are put into sets by blocks that differ in two bits or fewer.
+
+    Each member of a set is paired with the one nearest to the set's majority bits; of sets of over two the members
+    come too (b null), so that a row at most stands for a node in either kind.
+    """
+    low = BLOCK - lead
+    tail, ahead = block & ((1 << low) - 1), np.bitwise_count((block >> low) ^ (cell & ((1 << lead) - 1)))
+    own, other = np.flatnonzero(ahead == 0), np.flatnonzero(ahead == 1)
+    near = np.array([0, *[1 << k for k in range(low)]], np.int64)
+    word = np.concatenate([(((tail[own][:, None] ^ near) << 32) | own[:, None]).ravel(), (tail[other] << 32) | other])
+    word.sort()
+    at, begin = word & 0xFFFFFFFF, np.flatnonzero(np.diff(word >> 32, prepend=-1))
+    size = np.diff(begin, append=len(word))
+    place = np.arange(len(word)) - np.repeat(begin, size)
+    size = np.repeat(size, size)
+    sets = _Sets(len(node))
+    roots = np.arange(len(node))
+
+    def join(x: np.ndarray, y: np.ndarray) -> None:
+        apart = roots[x] != roots[y]
+        if apart.any():
+            for i, j in np.unique(np.stack([x[apart], y[apart]]), axis=1).T.tolist():
+                sets.join(i, j)
+            touched = np.flatnonzero(np.asarray(sets.parent) != np.arange(len(node)))
+            roots[touched] = [sets.root(i) for i in touched.tolist()]
+
+    # members of a long run are one set; in others each is tried with each before it, unless they are joined already
+    long = np.flatnonzero((size > RUN) & (place > 0))
+    join(at[long - place[long]], at[long])
+    todo = np.flatnonzero((size <= RUN) & (place > 0))
+    for step in range(1, RUN):
+        todo = todo[place[todo] >= step]
+        if not len(todo):
+            break
+        x, y = at[todo - step], at[todo]
+        ok = (roots[x] != roots[y]) & _checked(c0, c1, x, y)
+        join(x[ok], y[ok])
+    members = np.flatnonzero(np.bincount(roots, minlength=len(node))[roots] > 1)
+    members = members[np.argsort(roots[members], kind="stable")]
+    out = [np.zeros((5, 0), np.int64)]
+    for m in np.split(members, np.flatnonzero(np.diff(roots[members])) + 1) if len(members) else ():
+        hub = int(np.argmin(node[m]))
+        if len(m) > 2:
+            bits = np.unpackbits(np.stack([c0[m], c1[m]], axis=1).view(np.uint8), axis=1)
+            hub = int(np.argmin((bits != (2 * bits.sum(axis=0) > len(m))).sum(axis=1)))
+            name = np.full(len(m), (np.int64(cell) << 32) | roots[m[0]])
+            out.append(np.stack([node[m], np.full(len(m), -1), name, c0[m], c1[m]]))
+        rest = np.delete(m, hub)
+        rest = rest[_checked(c0, c1, np.full(len(rest), m[hub]), rest)]
+        none, h = np.full(len(rest), -1), node[m[hub]]
+        out.append(np.stack([np.minimum(node[rest], h), np.maximum(node[rest], h), none, none, none]))
+    return list(np.concatenate(out, axis=1))
+
+
+def _crossing(t: pa.Table) -> pa.Table:
+    """Pairs of one set that are of different components so far."""
+    node, root, c0, c1 = (t.column(c).to_numpy() for c in ("node", "root", "c0", "c1"))
+    out = [np.zeros((2, 0), np.int64)]
+    for i in range(len(node)) if len(np.unique(root)) > 1 else ():
+        j = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        j = j[_checked(c0, c1, np.full(len(j), i), j)]
+        out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
+    a, b = np.concatenate(out, axis=1)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def similar_components(groups: DataFrame, texts: DataFrame, n: int, shingle: int) -> DataFrame:
+    """Components (node, root) of pairs with a Jaccard similarity of SIMILAR or more.
+
+    `groups`: node and sketch, one for each distinct set of shingles; `texts`: row (a node) and text. Blocks of the
+    sketch meet by ball hashing at two bits. In a set of nodes that meet each is paired with one in the middle; members
+    that are still apart are then paired with each other. A pair is a link only if its texts' sets of shingles say so.
+    """
+    lead = max(3, min(16, math.ceil(math.log2(max(2, n * (BLOCK + 1) / 1_000_000)))))
+
+    def met(t: pa.Table) -> pa.Table:
+        cols = block_meetings(t.column("cell")[0].as_py(), *(t.column(c).to_numpy() for c in ("node", "block", "c0", "c1")), lead)
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("a", "b", "run", "c0", "c1"), cols, strict=True)})
+
+    def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[int, np.ndarray] = {}
+            flags = []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
+                for k, text in ((a, x), (b, y)):
+                    if k not in known:
+                        known[k] = shingle_hashes(text, shingle)
+                flags.append(similar(known[a], known[b]))
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(flags, pa.bool_()))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        left, right = (texts.select(F.col("row").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
+        return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(alike, "a BIGINT, b BIGINT"), name)
+
+    cells = groups.select("node", "sketch").mapInArrow(lambda x: _block_cells(x, lead), _CELL_ROWS)
+    meetings = stored(cells.groupBy("cell").applyInArrow(met, _MEETINGS), "similar-meetings")
+    edges = verified(meetings.where("run = -1").select("a", "b").distinct(), "similar-links")
+    roots = components(edges, "similar-components")
+    runs = meetings.where("run <> -1")
+    if runs.isEmpty():
+        return roots
+    members = runs.select("run", F.col("a").alias("node"), "c0", "c1").join(roots, "node", "left").select("run", "node", F.coalesce("root", "node").alias("root"), "c0", "c1")
+    more = verified(members.groupBy("run").applyInArrow(_crossing, "a BIGINT, b BIGINT").distinct(), "similar-late-links")
+    return components(edges.unionByName(more), "similar-components")
+
+
+def keep_one(docs: DataFrame, shingle: int) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stay: of each component of similar texts the one with the smallest doc_id.
+
+    Two texts are similar if their sets of `shingle`-word shingles have a Jaccard similarity of SIMILAR or more. Null
+    and empty texts are equal.
+    """
     keyed = stored(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "simhash-rows")
-    fps = stored(fingerprints(keyed.select("_doc.doc_id", "_doc.text", "_row"), shingle), "simhash")
-    kept = stored(_classes(fps, radius).groupBy("root").agg(F.min("least").alias("_least")).select(F.col("_least.row").alias("_kept")), "simhash-kept")
-    return keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select("_doc.*")
+    texts = keyed.select(F.col("_row").alias("row"), F.col("_doc.text").cast("string").alias("text"))
+    narrow = keyed.select(F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_row").alias("row"), F.col("_doc.text").cast("string").alias("text"))
+    sketches = narrow.mapInArrow(lambda x: _sketched(x, shingle), "doc_id BIGINT, row BIGINT, key BINARY, sketch BINARY")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    groups = stored(sketches.groupBy("key").agg(F.min(order).alias("least"), F.first("sketch").alias("sketch")).select("least", F.col("least.row").alias("node"), "sketch"), "similar-groups")
+    roots = similar_components(groups, texts, groups.count(), shingle)
+    kept = groups.join(roots, "node", "left").groupBy(F.coalesce("root", groups["node"]).alias("root")).agg(F.min("least").alias("_least"))
+    return keyed.join(stored(kept.select(F.col("_least.row").alias("_kept")), "simhash-kept"), F.col("_row") == F.col("_kept"), "left_semi").select("_doc.*")
 
 
 def _assign(fps: DataFrame, named: DataFrame, n_rows: int, share: float = 1 / 4096) -> DataFrame:

@@ -47,3 +47,30 @@ def test_stages(spark, tmp_path):
     assert max(mixed.values()) <= 3 and set(mixed) <= {r.doc_id for r in kept["simhash_near_dedup"]}
     starts = Counter(r.doc_id for r in kept["best_fit_packing"] if r.piece == 0)
     assert starts == mixed
+
+
+def test_near_copies_from_a_similarity_of_0_8(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randrange(100000)}" for _ in range(200)]
+        rows.append((k, " ".join(words)))
+        # each changed word costs up to 5 shingles: 3 leave a similarity over 0.8, 9 one under it
+        for j, n in ((100, 3), (200, 4), (300, 9)):
+            w = list(words)
+            for at in range(20, 20 + 20 * n, 20):
+                w[at] = f"x{rng.randrange(100000)}"
+            rows.append((k + j, " ".join(w)))
+    # long runs of near copies of one text
+    rows += [(1000 + i, rows[0][1] + f" y{i}") for i in range(3 * simhash.RUN)] + [(2000, None), (2001, " ")]
+    sets = {d: {tuple((t or "").split()[i : i + 5]) for i in range(len((t or "").split()) - 4)} for d, t in rows}
+    ids = [d for d, _ in rows]
+    root = simhash._Sets(len(ids))
+    for i, a in enumerate(ids):
+        for j in range(i):
+            x, y = sets[a], sets[ids[j]]
+            if 5 * len(x & y) >= 4 * len(x | y):
+                root.join(i, j)
+    want = sorted(ids[i] for i in range(len(ids)) if root.root(i) == i)
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == want and {300, 2000} <= set(want) and not {101, 201, 1000, 2001} & set(want)
