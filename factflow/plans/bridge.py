@@ -97,7 +97,7 @@ FROM {{part}}
     "beans": f"""
 SELECT concat('customer.', {_s("c_custkey")}) AS class_fqn, CASE WHEN c_custkey % 4 = 0 THEN 'Service' WHEN c_custkey % 4 = 1 THEN 'Component' WHEN c_custkey % 4 = 2 THEN concat('Repository:bean', {_s("c_custkey")}) ELSE 'Primary' END AS annotation_name FROM {{customer}} WHERE c_custkey % 3 <> 1
 """,
-    "points": f"SELECT concat('order.', {_s('o_orderkey')}) AS owner, concat('field', {_s('o_orderkey % 4')}) AS field, concat('nation.', {_s('o_orderkey % 25')}) AS type, CASE WHEN o_orderkey % 9 = 0 THEN concat('bean', {_s('o_orderkey % 600')}) END AS qualifier FROM {{orders}} WHERE o_orderkey % 40 = 0",
+    "points": f"SELECT concat('order.', {_s('o_orderkey')}) AS owner, concat('field', {_s('o_orderkey % 4')}) AS field, concat('nation.', {_s('o_orderkey % 25')}) AS type, CASE WHEN o_orderkey % 9 = 0 THEN concat('bean', {_s('o_orderkey % 600')}) END AS qualifier FROM {{orders}}",
 }
 
 

@@ -126,3 +126,12 @@ def test_collections(spark, rows, name, args, want):
     calls = rows([("c", "M.m()", "l", name, "r")], "call_id, method_fqn, receiver, method_name, lhs")
     arguments = spark.createDataFrame([("c", k, v) for k, v in args], "call_id string, arg_index int, arg_var string")
     assert {(r.lhs, r.rhs, r.assignment_type) for r in collections.model(calls, arguments).collect()} == want
+
+
+def test_injection_points_are_all_orders(spark, tmp_path):
+    from factflow.plans import bridge
+
+    spark.range(1, 601).selectExpr("id as o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    got = bridge.frame(spark, str(tmp_path), "points").collect()
+    assert len(got) == 600 and len({r.field for r in got}) == 4 and len({r.type for r in got}) == 25
+    assert "%" in bridge.sql("points") and "WHERE" not in bridge.sql("points")
