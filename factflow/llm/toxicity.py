@@ -46,11 +46,14 @@ INSULTS = {
 THREATS = re.compile(r"\b(?:kill|hate|hurt|destroy)\s+(?:you|them|yourself|him|her)\b|\bshut up\b|\bgo to hell\b", re.I)
 ADDRESS = re.compile(r"\byou(?:'re| are)?\s+(?:an?\s+|such\s+an?\s+|all\s+)?(\w+)", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
+_INSULTS = frozenset(w for words in INSULTS.values() for w in words)
+#: Features of the pattern voters: they need the text, and every other voter only its words.
+PATTERNS = ("!threat", "!address")
 
 
 def features_of(text: str) -> set[str]:
     """Words ("=word"), beginnings of 4 to 7 letters ("4abcd"), and beginnings that two or three different words have
-    ("4abcd+", "4abcd++"), each once: inflected marks repeat a stem, chance ones hardly do."""
+    ("4abcd+", "4abcd++"), each once: inflected marks repeat a stem, chance ones hardly do. And what of PATTERNS the text has."""
     words = set(_WORDS.findall(text.lower()))
     out = {"=" + w for w in words}
     for n in (4, 5, 6, 7):
@@ -64,6 +67,10 @@ def features_of(text: str) -> set[str]:
                     out.add(f"{mark}{s}+")
                     if k > 2:
                         out.add(f"{mark}{s}++")
+    if THREATS.search(text):
+        out.add("!threat")
+    if not _INSULTS.isdisjoint(words) and any(m.lower() in _INSULTS for m in ADDRESS.findall(text)):
+        out.add("!address")
     return out
 
 
@@ -89,6 +96,8 @@ def mine(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, n_featu
     out: list[dict[str, float]] = [{} for _ in range(2 * folds)]
     rate = n_toxic / max(1, n_toxic + n_clean)
     for f in sorted(counts, key=lambda f: (-counts[f][0], f)):
+        if f in PATTERNS:
+            continue
         toxic, clean = counts[f]
         odds = math.log((toxic + 0.5) / max(1, n_toxic)) - math.log((clean + 0.5) / max(1, n_clean))
         if toxic < LEAST or odds < math.log(TIMES) or surprise(toxic, clean, rate) < math.log(max(1, n_features) / CHANCE):
@@ -101,7 +110,7 @@ def mine(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, n_featu
 
 
 class Voters:
-    """The weak voters. `votes(text, feats)` gives 1 (toxic), 0 (clean) or -1 (abstains) for each."""
+    """The weak voters. `votes(feats)` gives 1 (toxic), 0 (clean) or -1 (abstains) for each."""
 
     def __init__(self, lexicons: list[dict[str, float]]):
         self.lexicons = [frozenset(x) for x in lexicons]
@@ -115,7 +124,7 @@ class Voters:
         n = len({h[1:5] for h in feats & self.every} | {h[1:5] for h in feats & self.insults})
         return {f"#{k}" for k in (1, 2, 3, 5) if n >= k}
 
-    def votes(self, text: str, feats: set[str]) -> list[int]:
+    def votes(self, feats: set[str]) -> list[int]:
         hits = feats & self.every
         stems = {h[1:5] for h in hits}
         # a lexicon votes clean only where none of them has a hit, else it abstains
@@ -123,8 +132,7 @@ class Voters:
         out = [1 if hits & x else missing for x in self.lexicons]
         insults = feats & self.insults
         out += [1 if insults & x else (0 if not insults and not hits else -1) for x in self.lists.values()]
-        out.append(1 if THREATS.search(text) else -1)
-        out.append(1 if insults and any("=" + m.lower() in self.insults for m in ADDRESS.findall(text)) else -1)
+        out += [1 if p in feats else -1 for p in PATTERNS]
         out.append(1 if len(stems) >= 2 else missing)
         out.append(1 if len(stems) >= 3 else missing)
         return out
@@ -328,8 +336,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Detector:
         for batch in batches:
             counts = Counter()
             for t in batch.column("text").to_pylist():
-                t = t or ""
-                counts[_pattern(voters.votes(t, features_of(t)))] += 1
+                counts[_pattern(voters.votes(features_of(t or "")))] += 1
             yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(counts), pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
 
     seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(vote, "pattern BIGINT, n BIGINT").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
@@ -339,7 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Detector:
     if len(patterns):
         model.fit(_unpattern(patterns, n), np.array([r.n for r in seen], dtype=float))
 
-    lexicon = [*sorted(voters.every | voters.insults), "#1", "#2", "#3", "#5"]
+    lexicon = [*sorted(voters.every | voters.insults), "#1", "#2", "#3", "#5", *PATTERNS]
     common = [r.f for r in counts.where(F.col("toxic") + F.col("clean") >= LEAST).orderBy(F.desc(F.col("toxic") + F.col("clean")), "f").limit(FEATURES).collect()]
     own = set(lexicon)
     linear = Linear(lexicon + [f for f in common if f not in own])
@@ -347,15 +354,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Detector:
     def indexed(batches):
         for batch in slices(batches):
             sets = [set(x.split(" ")) for x in batch.column("feats").to_pylist()]
-            votes = [_pattern(voters.votes("", x)) for x in sets]
+            votes = [_pattern(voters.votes(x)) for x in sets]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "pattern": pa.array(votes, pa.int64()), "at": pa.array([x.tolist() for x in linear.rows(x | voters.counts(x) for x in sets)], pa.list_(pa.int32()))})
 
     if n_toxic + n_clean and len(patterns):
         # at most `sample` rows of the places of their features
         sample_rows = sorted(rows.select("doc_id", "feats").mapInArrow(indexed, "doc_id BIGINT, pattern BIGINT, at ARRAY<INT>").toArrow().to_pylist(), key=lambda r: r["doc_id"])
         linear.fit([np.array(r["at"], dtype=np.int64) for r in sample_rows], model.posterior(_unpattern(np.array([r["pattern"] for r in sample_rows]), n)), free=len(lexicon))
+        # of a pattern that no sample row has nothing is learnt: it is taken at its word
+        seen_at = {k for r in sample_rows for k in r["at"]}
+        for k in (linear.index[p] for p in PATTERNS):
+            if k not in seen_at:
+                linear.weights[k] = 3.0 - linear.bias
     else:
-        linear.weights[linear.index["#1"]], linear.bias = 6.0, -3.0
+        linear.weights[[linear.index[f] for f in ("#1", "!threat")]], linear.bias = 6.0, -3.0
     return Detector(voters, model, linear)
 
 
@@ -372,7 +384,7 @@ def score(docs: DataFrame, detector: Detector) -> DataFrame:
         for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             feats = [features_of(t) for t in texts]
-            votes = np.array([detector.voters.votes(t, f) for t, f in zip(texts, feats, strict=True)], dtype=np.int64).reshape(len(texts), -1)
+            votes = np.array([detector.voters.votes(f) for f in feats], dtype=np.int64).reshape(len(texts), -1)
             post = detector.model.posterior(votes) if len(texts) and detector.model.tables else np.zeros(len(texts))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array([detector.score(f) for f in feats], pa.float64()), "posterior": pa.array(post)})
 

@@ -290,3 +290,14 @@ def test_media_copies(spark):
     rows += [(50, 64, 64, images[3].tobytes()), (60, None, None, None), (61, 10, 10, b"x")]
     df = spark.createDataFrame([(a, b, c, bytearray(d) if d is not None else None) for a, b, c, d in rows], "media_id long, height int, width int, pixels binary")
     assert {(r.a, r.b) for r in media.copies(df).collect()} == {(k, 100 + k) for k in range(6)}
+
+
+def test_toxic_patterns_vote_and_score(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"{rng.choice('abcdefgh')}{rng.choice('aeiou')}{rng.choice('mnrst')}{rng.choice('aeiou')}" for _ in range(40)) + (" grumpfela grumpfelen" if k % 6 == 0 else "")) for k in range(300)]
+    docs = spark.createDataFrame([*rows, (900, "I will kill you"), (901, rows[1][1] + " go to hell")], "doc_id long, text string")
+    det = toxicity.fit(docs, spark.createDataFrame([(k, int(k % 6 == 0)) for k in range(300)], "doc_id long, toxic int"))
+    votes = dict(zip(det.voters.names, det.voters.votes(toxicity.features_of("you idiot, i hate you")), strict=True))
+    assert votes["threat"] == votes["address"] == 1
+    got = {r.doc_id: r.score for r in toxicity.score(docs, det).collect()}
+    assert got[900] >= 0.7 and got[901] >= 0.7 and got[1] < 0.7
