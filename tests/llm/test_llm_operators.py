@@ -301,3 +301,14 @@ def test_toxic_patterns_vote_and_score(spark):
     assert votes["threat"] == votes["address"] == 1
     got = {r.doc_id: r.score for r in toxicity.score(docs, det).collect()}
     assert got[900] >= 0.7 and got[901] >= 0.7 and got[1] < 0.7
+
+
+def test_media_equal_images_are_rows(spark):
+    images = {k: media.render(k) for k in range(4)}
+    rows = [(k, *im.shape, bytearray(im.tobytes())) for k, im in images.items()] + [(100 + k, 64, 64, bytearray(images[3].tobytes())) for k in range(150)]
+    e = media.edited(images[3], 3)
+    rows += [(50, *e.shape, bytearray(e.tobytes())), (60, None, None, None), (61, None, None, None), (62, 10, 10, bytearray(b"x")), (63, 10, 10, bytearray(b"x"))]
+    df = spark.createDataFrame(rows, "media_id long, height int, width int, pixels binary")
+    got = {(r.media_id, r.copy_id): r.inliers for r in media.all_copies(df).collect()}
+    assert set(got) == {(3, 50)} | {(3, 100 + k) for k in range(150)} and {p for p, n in got.items() if n is not None} == {(3, 50)}
+    assert {r.media_id: r.same_as for r in media.members(df).collect()} == {k: k for k in [0, 1, 2, 3, 50]} | {100 + k: 3 for k in range(150)}
