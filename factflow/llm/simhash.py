@@ -239,12 +239,6 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, starts[shingle:], strict=False)], np.uint64))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets of shingles have a Jaccard similarity of SIMILAR or more. Two empty sets are equal."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * SIMILAR[1] >= SIMILAR[0] * (len(a) + len(b) - both)
-
-
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """SKETCH independent fingerprints of a set of shingles, a word each."""
     ones = np.zeros(SKETCH * BITS, np.int64)
@@ -270,7 +264,6 @@ def _sketched(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
 
 
 _CELL_ROWS = "cell BIGINT, node BIGINT, block BIGINT, c0 BIGINT, c1 BIGINT"
-_MEETINGS = "a BIGINT, b BIGINT, run BIGINT, c0 BIGINT, c1 BIGINT"
 
 
 def _block_cells(batches: Iterable[pa.RecordBatch], lead: int) -> Iterator[pa.RecordBatch]:
@@ -295,12 +288,8 @@ def _checked(c0: np.ndarray, c1: np.ndarray, x: np.ndarray, y: np.ndarray) -> np
     return apart[0] + apart[1] <= CHECKED
 
 
-def block_meetings(cell: int, node: np.ndarray, block: np.ndarray, c0: np.ndarray, c1: np.ndarray, lead: int) -> list[np.ndarray]:
-    """Rows of _MEETINGS (-1 is null) for one cell: its nodes are put into sets by blocks that differ in two bits or fewer.
-
-    Each member of a set is paired with the one nearest to the set's majority bits; of sets of over two the members
-    come too (b null), so that a row at most stands for a node in either kind.
-    """
+def block_meetings(cell: int, node: np.ndarray, block: np.ndarray, c0: np.ndarray, c1: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of one cell put into sets by blocks that differ in two bits or fewer: (node, one node of its set), a row for each other node."""
     low = BLOCK - lead
     tail, ahead = block & ((1 << low) - 1), np.bitwise_count((block >> low) ^ (cell & ((1 << lead) - 1)))
     own, other = np.flatnonzero(ahead == 0), np.flatnonzero(ahead == 1)
@@ -333,73 +322,50 @@ def block_meetings(cell: int, node: np.ndarray, block: np.ndarray, c0: np.ndarra
         x, y = at[todo - step], at[todo]
         ok = (roots[x] != roots[y]) & _checked(c0, c1, x, y)
         join(x[ok], y[ok])
-    members = np.flatnonzero(np.bincount(roots, minlength=len(node))[roots] > 1)
-    members = members[np.argsort(roots[members], kind="stable")]
-    out = [np.zeros((5, 0), np.int64)]
-    for m in np.split(members, np.flatnonzero(np.diff(roots[members])) + 1) if len(members) else ():
-        hub = int(np.argmin(node[m]))
-        if len(m) > 2:
-            bits = np.unpackbits(np.stack([c0[m], c1[m]], axis=1).view(np.uint8), axis=1)
-            hub = int(np.argmin((bits != (2 * bits.sum(axis=0) > len(m))).sum(axis=1)))
-            name = np.full(len(m), (np.int64(cell) << 32) | roots[m[0]])
-            out.append(np.stack([node[m], np.full(len(m), -1), name, c0[m], c1[m]]))
-        rest = np.delete(m, hub)
-        rest = rest[_checked(c0, c1, np.full(len(rest), m[hub]), rest)]
-        none, h = np.full(len(rest), -1), node[m[hub]]
-        out.append(np.stack([np.minimum(node[rest], h), np.maximum(node[rest], h), none, none, none]))
-    return list(np.concatenate(out, axis=1))
-
-
-def _crossing(t: pa.Table) -> pa.Table:
-    """Pairs of one set that are of different components so far."""
-    node, root, c0, c1 = (t.column(c).to_numpy() for c in ("node", "root", "c0", "c1"))
-    out = [np.zeros((2, 0), np.int64)]
-    for i in range(len(node)) if len(np.unique(root)) > 1 else ():
-        j = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-        j = j[_checked(c0, c1, np.full(len(j), i), j)]
-        out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]))
-    a, b = np.concatenate(out, axis=1)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    linked = np.flatnonzero(roots != np.arange(len(node)))
+    return node[linked], node[roots[linked]]
+
+
+def jaccard_roots(sets: list[np.ndarray]) -> list[int]:
+    """For each set of shingles the first place of its component by SIMILAR pairs, all pairs tried."""
+    found, sizes = _Sets(len(sets)), np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    holders, begin = owner[order], np.searchsorted(code[order], np.arange(code.max(initial=-1) + 2))
+    for i, mine in enumerate(np.split(code, np.cumsum(sizes)[:-1])):
+        both = np.bincount(np.concatenate([holders[begin[c] : begin[c + 1]] for c in mine]) if len(mine) else np.zeros(0, np.int64), minlength=len(sets))[:i]
+        for j in np.flatnonzero(both * SIMILAR[1] >= SIMILAR[0] * (sizes[:i] + sizes[i] - both)).tolist():
+            found.join(i, j)
+    return [found.root(i) for i in range(len(sets))]
 
 
 def similar_components(groups: DataFrame, texts: DataFrame, n: int, shingle: int) -> DataFrame:
     """Components (node, root) of pairs with a Jaccard similarity of SIMILAR or more.
 
     `groups`: node and sketch, one for each distinct set of shingles; `texts`: row (a node) and text. Blocks of the
-    sketch meet by ball hashing at two bits. In a set of nodes that meet each is paired with one in the middle; members
-    that are still apart are then paired with each other. A pair is a link only if its texts' sets of shingles say so.
+    sketch meet by ball hashing at two bits, and what meets is one cluster. A cluster's texts come together once, and
+    there all pairs are tried on their sets of shingles, so no row is made for a pair.
     """
     lead = max(3, min(16, math.ceil(math.log2(max(2, n * (BLOCK + 1) / 1_000_000)))))
 
     def met(t: pa.Table) -> pa.Table:
-        cols = block_meetings(t.column("cell")[0].as_py(), *(t.column(c).to_numpy() for c in ("node", "block", "c0", "c1")), lead)
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("a", "b", "run", "c0", "c1"), cols, strict=True)})
+        a, b = block_meetings(t.column("cell")[0].as_py(), *(t.column(c).to_numpy() for c in ("node", "block", "c0", "c1")), lead)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known: dict[int, np.ndarray] = {}
-            flags = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                for k, text in ((a, x), (b, y)):
-                    if k not in known:
-                        known[k] = shingle_hashes(text, shingle)
-                flags.append(similar(known[a], known[b]))
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(flags, pa.bool_()))
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        left, right = (texts.select(F.col("row").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-        return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(alike, "a BIGINT, b BIGINT"), name)
+    def alike(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("cluster", "ascending"), ("node", "ascending")])
+        cluster, node, text = t.column("cluster").to_numpy(), t.column("node").to_numpy(), t.column("text")
+        roots = np.zeros(len(node), np.int64)
+        for at in np.split(np.arange(len(node)), np.flatnonzero(np.diff(cluster)) + 1):
+            roots[at] = node[at][jaccard_roots([shingle_hashes(x.as_py(), shingle) for x in text.slice(at[0], len(at))])]
+        return pa.table({"node": pa.array(node, pa.int64()), "root": pa.array(roots, pa.int64())})
 
     cells = groups.select("node", "sketch").mapInArrow(lambda x: _block_cells(x, lead), _CELL_ROWS)
-    meetings = stored(cells.groupBy("cell").applyInArrow(met, _MEETINGS), "similar-meetings")
-    edges = verified(meetings.where("run = -1").select("a", "b").distinct(), "similar-links")
-    roots = components(edges, "similar-components")
-    runs = meetings.where("run <> -1")
-    if runs.isEmpty():
-        return roots
-    members = runs.select("run", F.col("a").alias("node"), "c0", "c1").join(roots, "node", "left").select("run", "node", F.coalesce("root", "node").alias("root"), "c0", "c1")
-    more = verified(members.groupBy("run").applyInArrow(_crossing, "a BIGINT, b BIGINT").distinct(), "similar-late-links")
-    return components(edges.unionByName(more), "similar-components")
+    clusters = components(cells.groupBy("cell").applyInArrow(met, "a BIGINT, b BIGINT"), "similar-clusters")
+    # clusters are dealt in lots, so that a task is called for many at once
+    whole = clusters.select("node", F.col("root").alias("cluster")).union(clusters.select("root", "root")).distinct().join(texts, F.col("node") == F.col("row")).select("cluster", "node", "text")
+    return whole.withColumn("lot", F.pmod(F.xxhash64("cluster"), F.lit(256))).groupBy("lot").applyInArrow(alike, "node BIGINT, root BIGINT")
 
 
 def keep_one(docs: DataFrame, shingle: int) -> DataFrame:
