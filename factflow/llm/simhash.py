@@ -290,6 +290,9 @@ def _checked(c0: np.ndarray, c1: np.ndarray, x: np.ndarray, y: np.ndarray) -> np
 
 def block_meetings(cell: int, node: np.ndarray, block: np.ndarray, c0: np.ndarray, c1: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of one cell put into sets by blocks that differ in two bits or fewer: (node, one node of its set), a row for each other node."""
+    # the smallest node of a set names it, so that cells mostly name a set alike
+    order = np.argsort(node)
+    node, block, c0, c1 = node[order], block[order], c0[order], c1[order]
     low = BLOCK - lead
     tail, ahead = block & ((1 << low) - 1), np.bitwise_count((block >> low) ^ (cell & ((1 << lead) - 1)))
     own, other = np.flatnonzero(ahead == 0), np.flatnonzero(ahead == 1)
