@@ -4,33 +4,42 @@ All flow is one relation, copies between (context, variable) pairs: assignments,
 summaries alike. Field writes and reads join a base's objects with stored fields. The loop is semi-naive over three
 deltas (points-to rows, field rows, newly active methods).
 
-Static callees are a second stratum: only where a receiver (or none) points to nothing once the first stratum is
-complete does a call fall back to its static callee; then the loop goes on. So the result does not depend on the order of
-rows. Event and asynchronous calls, and advices, are the third.
+Static callees are a second stratum: once virtual flow is quiet, all calls whose receiver points to nothing (or that have
+none) fall back to their static callee; then virtual flow runs until it is quiet again, and so on. So the result does not
+depend on the order of rows. A static callee stands for the declared method of its class, name and number of parameters.
+Event and asynchronous calls, and advices, are the third.
+
+Facts of a checked size (`LOCAL_FACTS`), with bounded consequences (`LOCAL_ROWS`), are solved in the memory of one task
+by `worklist`; the rules and the result are the same. All else goes round by round over shuffles.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from factflow.functions import names as N
-from factflow.operators import callgraph, closure, extensions, hierarchy
-from factflow.shared import stored, stored_rows
+from factflow.operators import callgraph, closure, extensions, hierarchy, worklist
+from factflow.shared import scratch_path, stored, stored_rows
 
 PTS = ["context", "var", "alloc_context", "alloc"]
 FLD = ["alloc_context", "alloc", "field", "value_context", "value"]
 EDGE = ["caller_context", "caller", "callee_context", "callee"]
 #: Steps along known flow that a round takes.
 HOPS = 3
+#: Most fact rows that one task reads whole, and most rows that it may derive from them before it gives up.
+LOCAL_FACTS, LOCAL_ROWS = 1_000_000, 4_000_000
 FLOW = ["src_context", "src", "dst_context", "dst"]
 
 
 @dataclass
 class Facts:
-    """Fact tables that the solver reads; `summaries` (method_fqn, param_index) and the annotations may be missing."""
+    """Fact tables that the solver reads; `summaries` (method_fqn, param_index) and the annotations may be missing.
+
+    call_id and alloc_id are keys: of several classes of one object the smallest counts.
+    """
 
     hierarchy: DataFrame  # class_fqn, parent_fqn
     declarations: DataFrame  # method_fqn, class_fqn, method_name, params
@@ -45,6 +54,8 @@ class Facts:
 
 @dataclass
 class Solution:
+    """What follows from the facts. `sensitive`: whether call contexts were told apart."""
+
     pts: DataFrame
     fields: DataFrame
     edges: DataFrame
@@ -88,12 +99,144 @@ def _strings(columns: list[str]) -> str:
     return ", ".join(f"{c} STRING" for c in columns)
 
 
-def solve(spark: SparkSession, facts: Facts, context_limit: int = callgraph.CONTEXT_LIMIT, supernode_limit: int = callgraph.SUPERNODE_LIMIT, most_rounds: int = closure.MOST_ROUNDS) -> Solution:
-    """Run all rules to their fixpoint. Rows with null keys take no part; an empty fact table makes empty relations."""
-    alloc = stored(facts.allocations.select("alloc_id", "class_fqn").dropDuplicates(["alloc_id"]), "alloc-types")
+def _fact_rows(facts: Facts) -> DataFrame:
+    """All fact tables in one: kind and six texts."""
+    tables = {
+        "hierarchy": facts.hierarchy.select("class_fqn", "parent_fqn"),
+        "declarations": facts.declarations.select("method_fqn", "class_fqn", "method_name", "params"),
+        "allocations": facts.allocations.select("alloc_id", "class_fqn"),
+        "assignments": facts.assignments.select("lhs", "rhs", "assignment_type", "method_fqn"),
+        "calls": facts.calls.select("call_id", "method_fqn", "receiver", "method_name", "lhs", "static_callee"),
+        "arguments": facts.arguments.select("call_id", "arg_index", "arg_var"),
+        "methods": closure.union([f.select("method_fqn") for f in (facts.assignments, facts.calls, facts.allocations)]).where("method_fqn is not null").distinct(),
+    }
+    if facts.summaries is not None:
+        tables["summaries"] = facts.summaries.select("method_fqn", "param_index")
+    return closure.union([_as_rows(kind, df) for kind, df in tables.items()])
+
+
+def _as_rows(kind: str, df: DataFrame) -> DataFrame:
+    texts = [F.col(c).cast("string") for c in df.columns] + [F.lit(None).cast("string")] * (6 - len(df.columns))
+    return df.select(F.lit(kind).alias("kind"), *[t.alias(f"c{k}") for k, t in enumerate(texts)])
+
+
+def _local(rows: DataFrame, batches: list[tuple[DataFrame, DataFrame]], events: bool, context_limit: int, supernode_limit: int, most: int) -> dict[str, DataFrame] | None:
+    """Relations by name, from one task that holds all `rows`; None if it would derive over `most` rows."""
+
+    def solved(parts):
+        import pyarrow as pa
+
+        tables: dict[str, list[tuple]] = {k: [] for k in ("hierarchy", "declarations", "allocations", "assignments", "calls", "arguments", "methods", "summaries")}
+        widths = {"hierarchy": 2, "declarations": 4, "allocations": 2, "assignments": 4, "calls": 6, "arguments": 3, "methods": 1, "summaries": 2, "pts": 4, "edges": 5}
+        for part in parts:
+            columns = [part.column(k).to_pylist() for k in range(part.num_columns)]
+            for kind, *row in zip(*columns, strict=True):
+                tables.setdefault(kind, []).append(tuple(row[: widths[kind.split(":")[0]]]))
+        calls = tables["calls"]
+        tables["methods"] = [m for (m,) in tables["methods"]]
+        sites: dict[str, int] = {}
+        for c in calls:
+            if c[5] is not None:
+                sites[c[5]] = sites.get(c[5], 0) + 1
+        handled = {c[0] for c in calls if events and (c[3] == "publishEvent" or (c[3] is not None and "publishEvent" in (c[5] or "")))}
+        out: dict[str, list] = {"kind": [], **{f"c{k}": [] for k in range(5)}, "n": []}
+        schema = pa.schema([("kind", pa.string()), *[(f"c{k}", pa.string()) for k in range(5)], ("n", pa.int32())])
+        try:
+            run = worklist.Worklist(tables, len(calls) <= context_limit, {t for t, n in sites.items() if n > supernode_limit}, handled, most)
+            run.run()
+            for k in range(len(batches)):
+                run.add(tables.get(f"pts:{k}", []), [(*e[:4], int(e[4])) for e in tables.get(f"edges:{k}", [])])
+        except worklist.TooLarge:
+            yield pa.RecordBatch.from_pylist([{"kind": "too large"}], schema)
+            return
+        for kind, row in run.rows():
+            out["kind"].append(kind)
+            n = row[-1] if kind in ("edges", "resolved") else None
+            texts = row[:-1] if n is not None else row
+            for k in range(5):
+                out[f"c{k}"].append(texts[k] if k < len(texts) else None)
+            out["n"].append(n)
+            if len(out["n"]) >= 50_000:
+                yield pa.RecordBatch.from_pydict(out, schema)
+                out = {k: [] for k in out}
+        yield pa.RecordBatch.from_pydict(out, schema)
+
+    extra = [_as_rows(f"{kind}:{k}", df) for k, both in enumerate(batches) for kind, df in zip(("pts", "edges"), both, strict=True)]
+    seen = Observation()
+    done = closure.union([rows, *extra]).coalesce(1).mapInArrow(solved, "kind STRING, c0 STRING, c1 STRING, c2 STRING, c3 STRING, c4 STRING, n INT").observe(seen, F.count_if(F.col("kind") == "too large").alias("n"))
+    # a folder for each relation: none reads another's rows
+    path = scratch_path(rows.sparkSession, "solved")
+    done.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    if seen.get.get("n"):
+        return None
+    columns = {"pts": PTS, "fields": FLD, "edges": [*EDGE, "is_virtual"], "active": ["method_fqn", "context"], "resolved": ["call_id", "context", "target", "is_virtual"]}
+    whole = rows.sparkSession.read.schema("c0 STRING, c1 STRING, c2 STRING, c3 STRING, c4 STRING, n INT, kind STRING").parquet(path)
+    part = lambda kind, names: whole.where(F.col("kind") == kind).select(*[F.col("n" if c == "is_virtual" else f"c{k}").alias(c) for k, c in enumerate(names)])
+    return {kind: part(kind, names) for kind, names in columns.items()}
+
+
+def _solve_local(spark: SparkSession, facts: Facts, context_limit: int, supernode_limit: int, local_facts: int, local_rows: int, most_rounds: int) -> Solution | None:
+    rows = _fact_rows(facts)
+    if rows.limit(local_facts + 1).count() > local_facts:
+        return None
+    rows = stored(rows, "facts")
+    sensitive, events = callgraph.context_sensitive(facts.calls, context_limit), facts.method_annotations is not None
+    batches: list[tuple[DataFrame, DataFrame]] = []
+    ext = None
+    for _ in range(most_rounds):
+        got = _local(rows, batches, events, context_limit, supernode_limit, local_rows)
+        if got is None:
+            return None
+        if events:
+            if ext is None:
+                alloc = stored(facts.allocations.groupBy("alloc_id").agg(F.min("class_fqn").alias("class_fqn")), "alloc-types")
+                ext = extensions.Extensions(facts, stored(hierarchy.ancestors(facts.hierarchy, facts.declarations), "ancestors"), alloc)
+            pts, edges = ext.third(facts.calls, got["active"], got["pts"], got["edges"], got["resolved"], F.lit(sensitive))
+            pts, n = stored_rows(pts.distinct().join(got["pts"], PTS, "left_anti").select(*PTS), "extension-pts")
+            edges, m = stored_rows(edges.distinct().join(got["edges"], [*EDGE, "is_virtual"], "left_anti").select(*EDGE, "is_virtual"), "extension-edges")
+            if n or m:
+                batches.append((pts, edges))
+                continue
+        return Solution(got["pts"], got["fields"], got["edges"], sensitive)
+    raise RuntimeError(f"points-to: no fixpoint after {most_rounds} rounds")
+
+
+def solve(
+    spark: SparkSession, facts: Facts, context_limit: int = callgraph.CONTEXT_LIMIT, supernode_limit: int = callgraph.SUPERNODE_LIMIT, most_rounds: int = closure.MOST_ROUNDS,
+    local_facts: int = LOCAL_FACTS, local_rows: int = LOCAL_ROWS,
+) -> Solution:
+    """Run all rules to their fixpoint. Rows with null keys take no part; an empty fact table makes empty relations.
+
+    Over `context_limit` call sites all contexts are one: the result then has no call contexts and `Solution.sensitive` is
+    False. A static callee of over `supernode_limit` sites is not entered: what it returns is one object named after it.
+    Both are rules of the analysis, parameters here, and hold alike in both ways of solving. `local_facts` = 0 keeps the
+    work out of a single task at any size.
+    """
+    if local_facts:
+        found = _solve_local(spark, facts, context_limit, supernode_limit, local_facts, local_rows, most_rounds)
+        if found is not None:
+            return found
+    return _solve_rounds(spark, facts, context_limit, supernode_limit, most_rounds)
+
+
+def _static_targets(calls: DataFrame, declarations: DataFrame) -> DataFrame:
+    """`calls` with static_target: the declared method of the static callee's class, name and number of parameters (the
+    smallest of several), else the static callee as it stands."""
+    declared = (
+        declarations.where("method_fqn is not null").groupBy(F.col("class_fqn").alias("_class"), F.col("method_name").alias("_name"), N.param_count(F.col("method_fqn")).alias("_n"))
+        .agg(F.min("method_fqn").alias("_declared"))
+    )
+    static = F.col("static_callee")
+    bare = N.strip_signature(static)
+    named = calls.withColumn("_class", F.when(F.contains(static, F.lit("(")) & F.contains(bare, F.lit(".")), N.class_of_method(static))).withColumn("_name", F.substring_index(bare, ".", -1)).withColumn("_n", N.param_count(static))
+    return named.join(declared, ["_class", "_name", "_n"], "left").withColumn("static_target", F.coalesce("_declared", static)).drop("_class", "_name", "_n", "_declared")
+
+
+def _solve_rounds(spark: SparkSession, facts: Facts, context_limit: int, supernode_limit: int, most_rounds: int) -> Solution:
+    alloc = stored(facts.allocations.groupBy("alloc_id").agg(F.min("class_fqn").alias("class_fqn")), "alloc-types")
     assign = facts.assignments.select("lhs", "rhs", "assignment_type", "method_fqn").distinct()
     sensitive = callgraph.context_sensitive(facts.calls, context_limit)
-    calls = stored(facts.calls.withColumn("sig", F.coalesce(N.signature_params(F.col("static_callee")), F.lit(""))), "calls")
+    calls = stored(_static_targets(facts.calls.withColumn("sig", F.coalesce(N.signature_params(F.col("static_callee")), F.lit(""))), facts.declarations), "calls")
     args = facts.arguments.select("call_id", "arg_index", "arg_var")
     supers = callgraph.supernodes(facts.calls, supernode_limit).select(F.col("static_callee").alias("target"))
     summaries = facts.summaries if facts.summaries is not None else empty(spark, "method_fqn STRING, param_index INT")
@@ -127,13 +270,13 @@ def solve(spark: SparkSession, facts: Facts, context_limit: int = callgraph.CONT
     reads = stored(assign.where("assignment_type = 'FIELD_READ'").select("method_fqn", N.field_base(F.col("rhs")).alias("base"), N.field_name(F.col("rhs")).alias("field"), F.col("lhs").alias("dst")), "reads")
     copies = stored(assign.where("assignment_type = 'COPY'").select("method_fqn", F.col("rhs").alias("src"), F.col("lhs").alias("dst")), "copies")
     made = stored(assign.where("assignment_type = 'ALLOC'").select("method_fqn", F.col("lhs").alias("var"), F.col("rhs").alias("alloc")), "made")
-    has_slots = not made.where("var like 'SpringBeanAlloc:%.%'").isEmpty()
+    has_slots = not assign.where("lhs like 'SpringBeanAlloc:%.%'").isEmpty()
 
     of = lambda p, var, *out: p.select("context", F.col("var").alias(var), F.col("alloc_context").alias(out[0]), F.col("alloc").alias(out[1]))
     moved = lambda p, f: p.join(f, (p["context"] == f["src_context"]) & (p["var"] == f["src"])).select(F.col("dst_context").alias("context"), F.col("dst").alias("var"), "alloc_context", "alloc")
     read = lambda x, p, f: x.join(of(p, "base", "alloc_context", "alloc"), ["context", "base"]).join(f, ["alloc_context", "alloc", "field"]).select("context", F.col("dst").alias("var"), F.col("value_context").alias("alloc_context"), F.col("value").alias("alloc"))
     write = lambda x, p, q: x.join(of(p, "base", "alloc_context", "alloc"), ["context", "base"]).join(of(q, "src", "value_context", "value"), ["context", "src"]).select(*FLD)
-    stage, sums = 1, stored(summaries, "summaries")
+    fall, sums = False, stored(summaries, "summaries")
     for _ in range(most_rounds):
         grew = active.add(pending_active)
         next_pts, next_fld, flows, pending_active, found_edges = [], [], [], [], list(pending_edges)
@@ -151,10 +294,11 @@ def solve(spark: SparkSession, facts: Facts, context_limit: int = callgraph.CONT
             if typed:
                 t = closure.union(typed).join(alloc, F.col("alloc") == F.col("alloc_id")).withColumnRenamed("class_fqn", "alloc_type")
                 candidates.append(t.join(dispatch, ["alloc_type", "method_name", "sig"]).select("call_id", "context", "target", F.lit(1).alias("is_virtual")))
-            if stage >= 2:
+            if fall:
                 silent = live.where("static_callee is not null").join(pts.all.select("context", F.col("var").alias("receiver")).distinct(), ["context", "receiver"], "left_anti")
-                candidates.append(silent.select("call_id", "context", F.col("static_callee").alias("target"), F.lit(0).alias("is_virtual")))
+                candidates.append(silent.select("call_id", "context", F.col("static_target").alias("target"), F.lit(0).alias("is_virtual")))
             if reso.add(candidates):
+                grew = True
                 new = reso.delta.join(calls, "call_id").withColumn("callee_context", callgraph.callee_context(F.col("context"), F.col("call_id"), F.lit(sensitive)))
                 found_edges.append(new.select(F.col("context").alias("caller_context"), N.strip_signature(F.col("method_fqn")).alias("caller"), "callee_context", N.strip_signature(F.col("target")).alias("callee"), "is_virtual"))
                 is_super = new.join(supers, "target", "left_semi")
@@ -205,10 +349,12 @@ def solve(spark: SparkSession, facts: Facts, context_limit: int = callgraph.CONT
         grew |= fld.add(next_fld)
         grew |= pts.add(next_pts)
         pending_pts, pending_edges = [], []
+        fell, fall = fall, False
         if grew:
             continue
-        if stage == 1:
-            stage = 2
+        if has_calls and not fell:
+            # virtual flow is quiet: the next round, and only that, takes static callees
+            fall = True
             continue
         if facts.method_annotations is None:
             return Solution(pts.all, fld.all, edges.all, sensitive)
@@ -219,7 +365,6 @@ def solve(spark: SparkSession, facts: Facts, context_limit: int = callgraph.CONT
         pending_edges = [] if more_edges.isEmpty() else [more_edges]
         if not pending_pts and not pending_edges:
             return Solution(pts.all, fld.all, edges.all, sensitive)
-        stage = 3
     raise RuntimeError(f"points-to: no fixpoint after {most_rounds} rounds")
 
 
