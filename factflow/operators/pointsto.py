@@ -123,6 +123,8 @@ def _as_rows(kind: str, df: DataFrame) -> DataFrame:
 def _local(rows: DataFrame, batches: list[tuple[DataFrame, DataFrame]], events: bool, context_limit: int, supernode_limit: int, most: int) -> dict[str, DataFrame] | None:
     """Relations by name, from one task that holds all `rows`; None if it would derive over `most` rows."""
 
+    n_batches = len(batches)
+
     def solved(parts):
         import pyarrow as pa
 
@@ -144,7 +146,7 @@ def _local(rows: DataFrame, batches: list[tuple[DataFrame, DataFrame]], events:
         try:
             run = worklist.Worklist(tables, len(calls) <= context_limit, {t for t, n in sites.items() if n > supernode_limit}, handled, most)
             run.run()
-            for k in range(len(batches)):
+            for k in range(n_batches):
                 run.add(tables.get(f"pts:{k}", []), [(*e[:4], int(e[4])) for e in tables.get(f"edges:{k}", [])])
         except worklist.TooLarge:
             yield pa.RecordBatch.from_pylist([{"kind": "too large"}], schema)
