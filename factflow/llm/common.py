@@ -9,9 +9,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factflow.shared import scratch_path, shared_dir, stored
+from factflow.shared import scratch_path, shared_dir, stored, stored_rows
 
-__all__ = ["WORD", "TokenIds", "ascii_lower", "ascii_lower_bytes", "scratch_path", "shared_dir", "slices", "stored", "table", "token_ids", "vocabulary_path"]
+__all__ = ["WORD", "TokenIds", "ascii_lower", "ascii_lower_bytes", "one_blas_thread", "scratch_path", "shared_dir", "slices", "stored", "stored_rows", "table", "token_ids", "vocabulary_path"]
 
 #: Words of the contracts: runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +27,22 @@ def slices(batches: Iterable, rows: int = 256) -> Iterator:
             yield batch.slice(at, rows)
 
 
+def one_blas_thread() -> None:
+    """Have numpy's linear algebra use one thread in this process: a Python worker has one core, and waiting threads burn
+    others' time. Without a known library nothing is done."""
+    import ctypes
+    import glob
+    import os
+
+    import numpy
+
+    for name in glob.glob(os.path.join(os.path.dirname(numpy.__file__) + ".libs", "*openblas*")):
+        library = ctypes.CDLL(name)
+        for call in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, call):
+                getattr(library, call)(1)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
