@@ -27,24 +27,56 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# The wording of public licences and notices, with their variable regions marked.
+# The wording of public licences and notices, with their variable regions marked. Licence texts stand whole,
+# from the grant to the end of the disclaimer; "-notice", "-header" and the CC names stand for short notices.
+_AS_IS = """AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES INCLUDING BUT NOT LIMITED TO THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+    FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED IN NO EVENT SHALL <<any 12>> BE LIABLE FOR ANY DIRECT INDIRECT INCIDENTAL SPECIAL
+    EXEMPLARY OR CONSEQUENTIAL DAMAGES INCLUDING BUT NOT LIMITED TO PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES LOSS OF USE DATA OR
+    PROFITS OR BUSINESS INTERRUPTION HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY WHETHER IN CONTRACT STRICT LIABILITY OR TORT
+    INCLUDING NEGLIGENCE OR OTHERWISE ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+    DAMAGE"""
+_BSD = """Redistribution and use in source and binary forms with or without modification are permitted provided that the following
+    conditions are met <<optional>> 1 <<end>> <<optional>> a <<end>> Redistributions of source code must retain the above copyright notice
+    this list of conditions and the following disclaimer <<optional>> 2 <<end>> <<optional>> b <<end>> Redistributions in binary form must
+    reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other
+    materials provided with the distribution"""
+_ISC_END = """THE SOFTWARE IS PROVIDED AS IS AND <<any 12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+    WARRANTIES OF MERCHANTABILITY AND FITNESS IN NO EVENT SHALL <<any 12>> BE LIABLE FOR ANY SPECIAL DIRECT INDIRECT OR CONSEQUENTIAL
+    DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE DATA OR PROFITS WHETHER IN AN ACTION OF CONTRACT NEGLIGENCE OR OTHER
+    TORTIOUS ACTION ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"""
+_GPL_END = """This program is distributed in the hope that it will be useful but WITHOUT ANY WARRANTY without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE See the GNU General Public License for more details"""
 TEMPLATES = {
     "apache-2.0": """Licensed under the Apache License <<optional>> Version <<end>> 2.0""",
     "apache-2.0-header": """Licensed under the Apache License Version 2.0 the License you may not use this file except in compliance with
-        the License <<optional>> You may obtain a copy of the License at <<any 12>> <<end>> Unless required by applicable law or agreed to in writing""",
+        the License You may obtain a copy of the License at <<any 12>> Unless required by applicable law or agreed to in writing software
+        distributed under the License is distributed on an AS IS BASIS WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND either express or
+        implied See the License for the specific language governing permissions and limitations under the License""",
     "gpl-2.0": """GNU General Public License <<optional>> as published by the Free Software Foundation either <<end>> version 2""",
     "gpl-3.0": """GNU General Public License <<optional>> as published by the Free Software Foundation either <<end>> version 3""",
+    "gpl-2.0-notice": f"""This program is free software you can redistribute it and or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation either version 2 of the License or at your option any later version {_GPL_END}""",
+    "gpl-3.0-notice": f"""This program is free software you can redistribute it and or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation either version 3 of the License or at your option any later version {_GPL_END}""",
     "lgpl-3.0": """GNU Lesser General Public License <<optional>> as published by the Free Software Foundation either <<end>> version 3""",
     "mit-notice": """<<optional>> Released <<end>> <<optional>> Licensed <<end>> under the <<optional>> terms of the <<end>> MIT License""",
     "mit": """Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation
-        files the Software to deal in the Software without restriction <<any 60>> The above copyright notice and this permission notice
-        <<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the Software""",
-    "isc": """Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
-        provided that the above copyright notice and this permission notice appear in all copies""",
-    "bsd-2-clause": """Redistribution and use in source and binary forms with or without modification are permitted provided that the following
-        conditions are met <<any 6>> Redistributions of source code must retain the above copyright notice""",
-    "bsd-3-clause": """Redistribution and use in source and binary forms with or without modification are permitted provided that the following
-        conditions are met <<any 90>> Neither the name of <<any 16>> may be used to endorse or promote products""",
+        files the Software to deal in the Software without restriction including without limitation the rights to use copy modify merge
+        publish distribute sublicense and or sell copies of the Software and to permit persons to whom the Software is furnished to do so
+        subject to the following conditions The above copyright notice and this permission notice <<optional>> including the next
+        paragraph <<end>> shall be included in all copies or substantial portions of the Software THE SOFTWARE IS PROVIDED AS IS WITHOUT
+        WARRANTY OF ANY KIND EXPRESS OR IMPLIED INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY FITNESS FOR A PARTICULAR
+        PURPOSE AND NONINFRINGEMENT IN NO EVENT SHALL <<any 12>> BE LIABLE FOR ANY CLAIM DAMAGES OR OTHER LIABILITY WHETHER IN AN ACTION
+        OF CONTRACT TORT OR OTHERWISE ARISING FROM OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+        SOFTWARE""",
+    "isc": f"""Permission to use copy modify and <<optional>> or <<end>> distribute this software for any purpose with or without fee is
+        hereby granted provided that the above copyright notice and this permission notice appear in all copies {_ISC_END}""",
+    "0bsd": f"""Permission to use copy modify and <<optional>> or <<end>> distribute this software for any purpose with or without fee is
+        hereby granted {_ISC_END}""",
+    "bsd-2-clause": f"""{_BSD} THIS SOFTWARE IS PROVIDED BY <<any 12>> {_AS_IS}""",
+    "bsd-3-clause": f"""{_BSD} <<optional>> 3 <<end>> <<optional>> c <<end>> Neither the name of <<any 12>> nor the names of <<any 6>>
+        contributors may be used to endorse or promote products derived from this software without specific prior written permission
+        THIS SOFTWARE IS PROVIDED BY <<any 12>> {_AS_IS}""",
     "cc-by-4.0": """<<optional>> Licensed under <<end>> CC BY 4.0""",
     "cc-by-sa-4.0": """<<optional>> Licensed under <<end>> CC BY SA 4.0""",
     "cc-by-nc-4.0": """<<optional>> Licensed under <<end>> CC BY NC 4.0""",
@@ -197,9 +229,10 @@ class Scanner:
         """(label, first word) of each place of a base phrase."""
         line, out = b" " + b" ".join(words) + b" ", []
         for phrase, label in self.phrases:
-            at = line.find(phrase)
+            at, before, n = line.find(phrase), 0, 0
             while at >= 0:
-                out.append((label, line.count(b" ", 0, at)))
+                n, before = n + line.count(b" ", before, at), at
+                out.append((label, n))
                 at = line.find(phrase, at + 1)
         return out
 
@@ -232,8 +265,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """Licence scan of each row of `docs` (doc_id, text), row by row, without a shuffle.
 
     score: 1 where a template is accepted, 0.5 where only a base phrase stands, else 0. spans: the accepted runs of
-    words. Null and empty texts have no words, empty labels and score 0. Repeated rows are scanned each by themselves.
-    Columns other than these two are not read.
+    words. Null and empty texts have no words, empty labels and score 0. Repeated rows are scanned each by themselves. A text
+    of any length is scanned whole, in time that grows with its length; an empty table gives no rows. Columns other than these two are not read.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(_scan, SCHEMA)

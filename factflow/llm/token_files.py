@@ -3,8 +3,8 @@
 A shard holds a run of documents in ascending doc_id order: their ids concatenated (16 bits each where the vocabulary
 allows, else 32) and two non-decreasing sequences, document boundaries and doc_ids, in Elias-Fano form. An Elias-Fano
 sequence of n values up to u takes n * (2 + ceil(log2(u / n))) bits: the low bits packed, the high bits as a unary bit
-vector. `EliasFano.select` finds the i-th value from a sampled directory of the bit vector's ones, so an offset is read
-without a table of 64-bit offsets.
+vector. A directory of every `STEP`-th one's place, 32 bits each, stands in the file too: n / 8 bits. `EliasFano.select`
+finds the i-th value from one entry and a count of ones from there, so an offset is read without a table of offsets.
 
 Shards lie in Parquet files as a binary column, so any store that Spark writes can hold them and a lost task's shard is
 written again by Spark's own commit. `shard` alone is a complete file: `parse` reads its bytes from anywhere.
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from factflow.llm.common import scratch_path, table, token_ids
 
-MAGIC = b"FFTOK1\x00\x00"
+MAGIC = b"FFTOK2\x00\x00"
 #: A shard is closed when it has this many ids or documents.
 SHARD_IDS, SHARD_DOCS = 2_000_000, 50_000
+#: Documents that a range partition is meant to hold at most, where the shuffle setting gives fewer partitions.
+PART_DOCS = 20_000
 #: Ones of the high bit vector between two entries of the select directory.
 STEP = 256
 
@@ -33,12 +35,11 @@ STEP = 256
 class EliasFano:
     """A non-decreasing sequence of non-negative integers."""
 
-    def __init__(self, n: int, universe: int, low_bits: int, low: np.ndarray, high: np.ndarray):
+    def __init__(self, n: int, universe: int, low_bits: int, low: np.ndarray, high: np.ndarray, directory: np.ndarray):
         self.n, self.universe, self.low_bits, self.low, self.high = n, universe, low_bits, low, high
-        counts = np.add.accumulate(np.bitwise_count(high).astype(np.int64)) if len(high) else np.zeros(0, np.int64)
-        #: For each STEP-th one the byte that holds it, and the ones before each byte of the directory.
-        self._rank = counts
-        self._directory = np.searchsorted(counts, np.arange(0, n, STEP) + 1) if n else np.zeros(0, np.int64)
+        #: The bit that each STEP-th one is.
+        self.directory = directory
+        self._bits = memoryview(high)
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -53,8 +54,11 @@ class EliasFano:
         else:
             low = np.zeros(0, np.uint8)
         high_bits = np.zeros(n + (universe >> low_bits) + 1, np.uint8)
-        high_bits[(values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, universe, low_bits, low, np.packbits(high_bits, bitorder="little"))
+        if len(high_bits) >= 1 << 32:
+            raise ValueError("too many values for a directory of 32-bit places")
+        ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+        high_bits[ones] = 1
+        return cls(n, universe, low_bits, low, np.packbits(high_bits, bitorder="little"), ones[::STEP].astype("<u4"))
 
     def _low_at(self, i: int) -> int:
         if not self.low_bits:
@@ -64,14 +68,17 @@ class EliasFano:
         return (int.from_bytes(chunk, "little") >> (bit & 7)) & ((1 << self.low_bits) - 1)
 
     def select(self, i: int) -> int:
-        """The i-th value, from one directory entry and a scan of the few bytes up to the next."""
+        """The i-th value: from one directory entry on, ones are counted eight bytes at a time."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        byte = int(self._directory[i // STEP])
-        while self._rank[byte] <= i:
-            byte += 1
-        left = i - (int(self._rank[byte - 1]) if byte else 0)
-        word = int(self.high[byte])
+        entry, left = divmod(i, STEP)
+        place = int(self.directory[entry])
+        byte = place >> 3
+        word = int.from_bytes(self._bits[byte : byte + 8], "little") >> (place & 7) << (place & 7)
+        while (ones := word.bit_count()) <= left:
+            left -= ones
+            byte += 8
+            word = int.from_bytes(self._bits[byte : byte + 8], "little")
         for _ in range(left):
             word &= word - 1
         position = 8 * byte + (word & -word).bit_length() - 1
@@ -87,15 +94,18 @@ class EliasFano:
         return high | (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QQQQQ", self.n, self.universe, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        return struct.pack("<QQQQQ", self.n, self.universe, self.low_bits, len(self.low), len(self.high)) + self.directory.tobytes() + self.low.tobytes() + self.high.tobytes()
 
     @classmethod
     def from_bytes(cls, raw: bytes, at: int = 0) -> tuple[EliasFano, int]:
         n, universe, low_bits, a, b = struct.unpack_from("<QQQQQ", raw, at)
         at += 40
+        entries = -(-n // STEP)
+        directory = np.frombuffer(raw, "<u4", entries, at)
+        at += 4 * entries
         low = np.frombuffer(raw, np.uint8, a, at)
         high = np.frombuffer(raw, np.uint8, b, at + a)
-        return cls(n, universe, low_bits, low, high), at + a + b
+        return cls(n, universe, low_bits, low, high, directory), at + a + b
 
 
 def shard(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -174,7 +184,7 @@ def write(docs: DataFrame, location: str, end_id: int = 0, tokenizer: str | None
     of their text's hash. Other columns are not read. An empty table writes an empty directory of Parquet files.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-narrow.count() // PART_DOCS))
     # the range's second key splits ids that many rows share
     dealt = narrow.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     dealt.mapInArrow(lambda b: _shards_of(b, end_id, tokenizer), SHARDS).write.parquet(location)
