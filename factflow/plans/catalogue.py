@@ -239,7 +239,8 @@ def virtual_dispatch(spark, sf_dir):
     decl = frame(spark, sf_dir, "declarations")
     types = frame(spark, sf_dir, "allocations").select(F.col("class_fqn").alias("alloc_type")).distinct()
     wanted = types.select("alloc_type", F.lit("handle").alias("method_name"), F.explode(F.array(F.lit(""), F.lit("int"))).alias("sig"))
-    return hierarchy.dispatch(hierarchy.ancestors(frame(spark, sf_dir, "hierarchy_multi"), decl), decl, wanted)
+    anc = hierarchy.ancestors(frame(spark, sf_dir, "hierarchy_multi"), only=types.withColumnRenamed("alloc_type", "class_fqn"))
+    return hierarchy.dispatch(anc, decl, wanted)
 
 
 def _facts(spark, sf_dir, calls: bool, kinds=("ALLOC", "COPY", "FIELD_READ", "FIELD_WRITE")) -> pointsto.Facts:
@@ -358,8 +359,8 @@ SELECT owner, field, type, bean_class, bean_name FROM g WHERE qualifier IS NOT N
 """,
 )
 def bean_injection(spark, sf_dir):
-    anc = hierarchy.ancestors(frame(spark, sf_dir, "hierarchy_multi"))
-    return spring.candidates(frame(spark, sf_dir, "points"), spring.beans(frame(spark, sf_dir, "beans")), anc)
+    beans = spring.beans(frame(spark, sf_dir, "beans"))
+    return spring.candidates(frame(spark, sf_dir, "points"), beans, hierarchy.ancestors(frame(spark, sf_dir, "hierarchy_multi"), only=beans))
 
 
 _PROPS = f"SELECT key, arg_max(value, layer * 1000000000 + pos) AS value FROM ({sql('properties')}) p GROUP BY key"

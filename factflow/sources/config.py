@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factflow.operators import spring
+from factflow.sources.java import SKIPPED_DIRS
 
 _NAME = re.compile(r"application(?:-([\w.-]+?))?\.(properties|ya?ml)$")
 
@@ -64,7 +65,10 @@ def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def config_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "application*.{properties,yml,yaml}").load(path)
+    """path and content of the configuration files under a folder, build and tool folders left out."""
+    skipped = "|".join(map(re.escape, SKIPPED_DIRS))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "application*.{properties,yml,yaml}").load(path)
+    return found.where(~F.col("path").rlike(f"/(?:{skipped})/"))
 
 
 def entries(files: DataFrame) -> DataFrame:
