@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,13 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factflow.llm.common import ascii_lower_bytes, stored, table
+from factflow.llm.common import ascii_lower_bytes, stored, stored_rows, table
 
 BITS, SHINGLE, SEED, RADIUS = 64, 4, 42, 4
 #: Near copies by Jaccard similarity: this ratio or more. Texts have SKETCH fingerprints, whose bits are cut into TABLES
 #: blocks of BLOCK bits that meet at two bits or fewer; at a similarity of 0.8 a bit differs with chance 0.151, so a pair
 #: meets with chance 0.988. Two more words, in at most CHECKED of 128 bits, keep chance meetings out.
 SIMILAR, SKETCH, BLOCK, TABLES, CHECKED = (4, 5), 12, 28, 22, 46
+#: A cluster of more texts is compared with one of its texts after another, in parts of about as many, before the rest of it
+#: comes to one task; so many rounds at most.
+TOGETHER, PIVOTS = 2000, 8
 #: Longer runs of equal blocks are one set of block_meetings without a look at their pairs.
 RUN = 64
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -330,25 +334,98 @@ def block_meetings(cell: int, node: np.ndarray, block: np.ndarray, c0: np.ndarra
 
 
 def jaccard_roots(sets: list[np.ndarray]) -> list[int]:
-    """For each set of shingles the first place of its component by SIMILAR pairs, all pairs tried."""
-    found, sizes = _Sets(len(sets)), np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    """For each set of shingles the first place of its component by SIMILAR pairs.
+
+    A search from one set to all that are similar to it, and on from those; it looks only at sets that no component has
+    yet. Sets that found theirs leave the index once half of it is such, so many copies of one text cost one look each.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), sizes)
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    holders, begin = owner[order], np.searchsorted(code[order], np.arange(code.max(initial=-1) + 2))
-    for i, mine in enumerate(np.split(code, np.cumsum(sizes)[:-1])):
-        both = np.bincount(np.concatenate([holders[begin[c] : begin[c + 1]] for c in mine]) if len(mine) else np.zeros(0, np.int64), minlength=len(sets))[:i]
-        for j in np.flatnonzero(both * SIMILAR[1] >= SIMILAR[0] * (sizes[:i] + sizes[i] - both)).tolist():
-            found.join(i, j)
-    return [found.root(i) for i in range(len(sets))]
+    parts, n_codes = np.split(code, np.cumsum(sizes)[:-1]), int(code.max(initial=-1)) + 1
+    root, free = np.full(n, -1), np.ones(n, bool)
+
+    def index() -> tuple[np.ndarray, np.ndarray]:
+        ok = free[owner]
+        order = np.argsort(code[ok], kind="stable")
+        return owner[ok][order], np.searchsorted(code[ok][order], np.arange(n_codes + 1))
+
+    (holders, begin), indexed, left = index(), n, n
+    for first in range(n):
+        if not free[first]:
+            continue
+        free[first], root[first], todo = False, first, [first]
+        left -= 1
+        while todo and left:
+            if 2 * left < indexed:
+                (holders, begin), indexed = index(), left
+            i = todo.pop()
+            mine = parts[i]
+            both = np.bincount(np.concatenate([holders[begin[c] : begin[c + 1]] for c in mine]), minlength=n) if len(mine) else np.zeros(n, np.int64)
+            near = np.flatnonzero(free & (both * SIMILAR[1] >= SIMILAR[0] * (sizes + sizes[i] - both)))
+            free[near], root[near] = False, first
+            left -= len(near)
+            todo += near.tolist()
+    return root.tolist()
+
+
+def _from_pivots(members: DataFrame, texts: DataFrame, shingle: int) -> tuple[DataFrame | None, DataFrame]:
+    """Links of large clusters to single texts of theirs (None without large ones), and what is left to compare:
+    (cluster, a, b), (cluster, node).
+
+    A round compares all of a cluster with its smallest text that has no link yet, the pivot, in parts that keep a task
+    small. By the triangle inequality of Jaccard distance a text without a link can only be similar to texts that lie at
+    most 1 - SIMILAR nearer to the pivot than the nearest such text: all others are done with. So many copies of one text
+    are gone after a round, and no link is lost.
+    """
+    most = 1 - SIMILAR[0] / SIMILAR[1]
+
+    def compared(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        own = next(shingle_hashes(r["text"], shingle) for r in rows if r["is_pivot"])
+        out = []
+        for r in rows:
+            if not r["is_pivot"]:
+                mine = shingle_hashes(r["text"], shingle)
+                both = len(np.intersect1d(own, mine, assume_unique=True))
+                either = len(own) + len(mine) - both
+                out.append((r["cluster"], r["node"], r["pivot"], r["linked"], both * SIMILAR[1] >= SIMILAR[0] * either, 1 - both / either if either else 0.0))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.float64())
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        return pa.table([pa.array(c, y) for c, y in zip(columns, types, strict=True)], names=["cluster", "node", "pivot", "linked", "near", "far"])
+
+    known, rest = [], []
+    members = members.withColumn("linked", F.lit(False))
+    for _ in range(PIVOTS):
+        sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min(F.when(~F.col("linked"), F.col("node"))).alias("pivot"))
+        sized = stored(members.join(sizes, "cluster"), "similar-sized")
+        rest.append(sized.where(F.col("size") <= TOGETHER).select("cluster", "node"))
+        large = sized.where(F.col("size") > TOGETHER).withColumn("parts", F.ceil(F.col("size") / TOGETHER).cast("long"))
+        if large.isEmpty():
+            return _union_of(known), _union_of(rest)
+        rows = large.select("cluster", "node", "pivot", "linked", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(False).alias("is_pivot")).where("node <> pivot")
+        pivots = large.where("node = pivot").select("cluster", "node", "pivot", "linked", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_pivot"))
+        told = rows.unionByName(pivots).join(texts, F.col("node") == F.col("row")).select("cluster", "part", "node", "pivot", "linked", "is_pivot", "text")
+        seen = stored(told.groupBy("cluster", "part").applyInArrow(compared, "cluster BIGINT, node BIGINT, pivot BIGINT, linked BOOLEAN, near BOOLEAN, far DOUBLE"), "similar-compared")
+        known.append(seen.where("near").select("cluster", F.col("node").alias("a"), F.col("pivot").alias("b")))
+        # texts without any link, and those that may yet be similar to one
+        nearest = seen.where("not near and not linked").groupBy("cluster").agg(F.min("far").alias("_nearest"))
+        members = stored(seen.join(nearest, "cluster").where((~F.col("near") & ~F.col("linked")) | (F.col("far") >= F.col("_nearest") - most - 1e-9)).select("cluster", "node", (F.col("near") | F.col("linked")).alias("linked")), "similar-members")
+    rest.append(members.select("cluster", "node"))
+    return _union_of(known), _union_of(rest)
+
+
+def _union_of(frames: list[DataFrame]) -> DataFrame | None:
+    return reduce(DataFrame.unionByName, frames) if frames else None
 
 
 def similar_components(groups: DataFrame, texts: DataFrame, n: int, shingle: int) -> DataFrame:
     """Components (node, root) of pairs with a Jaccard similarity of SIMILAR or more.
 
     `groups`: node and sketch, one for each distinct set of shingles; `texts`: row (a node) and text. Blocks of the
-    sketch meet by ball hashing at two bits, and what meets is one cluster. A cluster's texts come together once, and
-    there all pairs are tried on their sets of shingles, so no row is made for a pair.
+    sketch meet by ball hashing at two bits, and what meets is one cluster. Large clusters are first compared with single
+    texts of theirs; what is left of a cluster comes together, and there pairs are tried on their sets of shingles, so no
+    row is made for a pair.
     """
     lead = max(3, min(16, math.ceil(math.log2(max(2, n * (BLOCK + 1) / 1_000_000)))))
 
@@ -362,13 +439,24 @@ def similar_components(groups: DataFrame, texts: DataFrame, n: int, shingle: int
         roots = np.zeros(len(node), np.int64)
         for at in np.split(np.arange(len(node)), np.flatnonzero(np.diff(cluster)) + 1):
             roots[at] = node[at][jaccard_roots([shingle_hashes(x.as_py(), shingle) for x in text.slice(at[0], len(at))])]
-        return pa.table({"node": pa.array(node, pa.int64()), "root": pa.array(roots, pa.int64())})
+        return pa.table({"cluster": pa.array(cluster, pa.int64()), "node": pa.array(node, pa.int64()), "root": pa.array(roots, pa.int64())})
 
     cells = groups.select("node", "sketch").mapInArrow(lambda x: _block_cells(x, lead), _CELL_ROWS)
     clusters = components(cells.groupBy("cell").applyInArrow(met, "a BIGINT, b BIGINT"), "similar-clusters")
-    # clusters are dealt in lots, so that a task is called for many at once
-    whole = clusters.select("node", F.col("root").alias("cluster")).union(clusters.select("root", "root")).distinct().join(texts, F.col("node") == F.col("row")).select("cluster", "node", "text")
-    return whole.withColumn("lot", F.pmod(F.xxhash64("cluster"), F.lit(256))).groupBy("lot").applyInArrow(alike, "node BIGINT, root BIGINT")
+    members = clusters.select("node", F.col("root").alias("cluster")).union(clusters.select("root", "root")).distinct().select("cluster", "node")
+    known, rest = _from_pivots(members, texts, shingle)
+    # clusters are dealt in lots, so that a task is called for many at once; their number follows that of their texts
+    rest, n_rest = stored_rows(rest, "similar-rest")
+    whole = rest.join(texts, F.col("node") == F.col("row")).select("cluster", "node", "text")
+    lots = max(256, n_rest // TOGETHER)
+    found = whole.withColumn("lot", F.pmod(F.xxhash64("cluster"), F.lit(lots))).groupBy("lot").applyInArrow(alike, "cluster BIGINT, node BIGINT, root BIGINT")
+    if known is None:
+        return found.select("node", "root")
+    # only where a cluster was large do its parts have to be put together again
+    found = stored(found, "similar-found")
+    large = known.select("cluster").distinct()
+    parts = found.join(large, "cluster", "left_semi").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(known.select("a", "b"))
+    return found.join(large, "cluster", "left_anti").select("node", "root").unionByName(components(parts, "similar-components"))
 
 
 def keep_one(docs: DataFrame, shingle: int) -> DataFrame:
