@@ -187,6 +187,12 @@ class Workspace:
     def routes(self, path: str | None = None, http_method: str | None = None) -> DataFrame:
         return callgraph.routes(self.table("web_routes"), path, http_method)
 
+    def remove(self) -> None:
+        """Delete all tables."""
+        path, fs = self._files()
+        fs.delete(path(self.location), True)
+        self.status = "unloaded"
+
     def stop(self) -> None:
         """Let go of cached rows; tables stay, and the next query reads them."""
         self.status = "idle"
