@@ -46,6 +46,8 @@ INSULTS = {
 THREATS = re.compile(r"\b(?:kill|hate|hurt|destroy)\s+(?:you|them|yourself|him|her)\b|\bshut up\b|\bgo to hell\b", re.I)
 ADDRESS = re.compile(r"\byou(?:'re| are)?\s+(?:an?\s+|such\s+an?\s+|all\s+)?(\w+)", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
+#: A match of THREATS has one of these among its words; letters that ignoring case equates with ASCII ones aside.
+_IN_THREATS, _ODD_CASE = frozenset("kill hate hurt destroy shut hell".split()), re.compile("[\u0130\u0131\u017f\u212a]")
 _INSULTS = frozenset(w for words in INSULTS.values() for w in words)
 #: Features of the pattern voters: they need the text, and every other voter only its words.
 PATTERNS = ("!threat", "!address")
@@ -67,7 +69,7 @@ def features_of(text: str) -> set[str]:
                     out.add(f"{mark}{s}+")
                     if k > 2:
                         out.add(f"{mark}{s}++")
-    if THREATS.search(text):
+    if (not _IN_THREATS.isdisjoint(words) or (not text.isascii() and _ODD_CASE.search(text))) and THREATS.search(text):
         out.add("!threat")
     if not _INSULTS.isdisjoint(words) and any(m.lower() in _INSULTS for m in ADDRESS.findall(text)):
         out.add("!address")
