@@ -3,10 +3,13 @@
 1. Corners: on each level of a pyramid the maxima of the smaller structure-tensor response; the strongest `KEYPOINTS`.
 2. Each corner is oriented by its patch's intensity centroid; 256 comparisons of smoothed pixels, turned by that angle,
    make a binary descriptor.
-3. Hamming tables: a descriptor goes to `TABLES` tables, in each by `KEY_BITS` of its bits; descriptors that meet in a
-   cell are compared, and each is linked to the cell's first at `NEAR` or fewer differing bits.
+3. Hamming tables: a descriptor goes to `TABLES` tables, in each by `KEY_BITS` of its bits; all descriptors that meet in
+   a cell are compared, and linked at `NEAR` or fewer differing bits.
 4. Geometric consensus: the matches of two images each propose a turn, a scale and a shift; the images are copies if at
-   least `INLIERS` matches agree with one proposal.
+   least `INLIERS` matches agree with one proposal, and if their pixels, laid over each other by the transform that fits
+   these matches, correlate by `LIKE` or more: plain corners agree by chance in one pair of images in a thousand.
+
+Steps 3 and 4 go by pairs of blocks of images: descriptors that met by chance are many and never leave a task.
 
 Images of equal pixels are one image before all this; `members` names that image for each.
 """
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factflow.llm import exact_dedup
-from factflow.llm.common import stored, table
+from factflow.llm.common import slices, stored, table
 
 SIDE, KEYPOINTS, LEVELS, RADIUS = 64, 24, 2, 7
 BITS, TABLES, KEY_BITS, NEAR, INLIERS, TOLERANCE = 256, 10, 24, 40, 4, 3.0
@@ -36,6 +39,13 @@ def _pattern() -> tuple[np.ndarray, np.ndarray]:
 
 
 PAIRS, KEYS = _pattern()
+#: The bits of each table's key, laid out as descriptors are.
+KEY_MASKS = np.packbits(np.stack([np.isin(np.arange(BITS), key) for key in KEYS]), axis=1).view(np.uint64)
+#: Least correlation of the pixels of copies.
+LIKE = 0.7
+#: Images to a block at least (at most 32 times as many), and images of a block that are compared at a time.
+BLOCK, SLICE = 2048, 32
+
 
 
 def _box(x: np.ndarray, r: int) -> np.ndarray:
@@ -114,86 +124,153 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"media_id": pa.array(ids[at]), "point": pa.array(number, pa.int32()), **cols, "code": pa.array([c.tobytes() for c in codes], pa.binary())})
 
 
-def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    weights = 1 << np.arange(KEY_BITS, dtype=np.int64)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bits = np.unpackbits(np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1)
-        for t, key in enumerate(KEYS):
-            cell = (np.int64(t) << KEY_BITS) | (bits[:, key].astype(np.int64) @ weights)
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(cell), "media_id": batch.column("media_id"), "point": batch.column("point"), "code": batch.column("code")})
-
-
-def _met(t: pa.Table) -> pa.Table:
-    """Links in some cells: each descriptor to the first of its cell that is near, in the order of media_id."""
-    t = t.sort_by([("cell", "ascending"), ("media_id", "ascending"), ("point", "ascending")])
-    cell, media, point = (t.column(c).to_numpy() for c in ("cell", "media_id", "point"))
-    code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint64).reshape(len(cell), -1)
-    begin = np.searchsorted(cell, cell)
-    out: list[np.ndarray] = []
-    # candidates one step further back each time; a descriptor that found its first leaves
-    todo, step = np.arange(len(cell)), 0
-    while len(todo):
-        other = begin[todo] + step
-        todo, other = todo[other < todo], other[other < todo]
-        near = (np.bitwise_count(code[todo] ^ code[other]).sum(axis=1) <= NEAR) & (media[todo] != media[other])
-        out.append(np.stack([other[near], todo[near]]))
-        todo, step = todo[~near], step + 1
-    a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pa.array(media[a]), "pa": pa.array(point[a], pa.int32()), "b": pa.array(media[b]), "pb": pa.array(point[b], pa.int32())})
-
-
 def consensus(p: np.ndarray, q: np.ndarray) -> int:
     """Most matches that agree with one match's similarity transform from p to q (x, y, scale, angle each).
 
     Matches count by distinct places on both sides.
     """
-    turn, grow = q[:, 3] - p[:, 3], q[:, 2] / p[:, 2]
-    best = 0
-    for t, g, a, b in zip(turn, grow, p, q, strict=True):
-        c, s = g * math.cos(t), g * math.sin(t)
-        dx, dy = p[:, 0] - a[0], p[:, 1] - a[1]
-        ok = np.hypot(b[0] + c * dx - s * dy - q[:, 0], b[1] + s * dx + c * dy - q[:, 1]) <= TOLERANCE * max(1.0, g)
-        ok &= np.abs((turn - t + math.pi) % (2 * math.pi) - math.pi) < 0.5
-        if ok.sum() > best:
-            best = max(best, min(len(np.unique(np.rint(p[ok, :2] / 2), axis=0)), len(np.unique(np.rint(q[ok, :2] / 2), axis=0))))
-    return best
-
+    return fitted(p, q)[0]
 
-_SIDE = "STRUCT<x: FLOAT, y: FLOAT, scale: FLOAT, angle: FLOAT>"
 
-
-def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = []
-        for matches in batch.column("matches").to_pylist():
-            p, q = (np.array([[m[s][c] for c in ("x", "y", "scale", "angle")] for m in matches], dtype=np.float64) for s in ("p", "q"))
-            counts.append(consensus(p, q))
-        yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "inliers": pa.array(counts, pa.int64())})
-
-
-def copies(media: DataFrame) -> DataFrame:
+def fitted(p: np.ndarray, q: np.ndarray) -> tuple[int, complex, complex]:
+    """`consensus`, and the turn m and shift z of the transform that fits these matches: x + iy goes to m (x + iy) + z."""
+    turn, grow = q[:, 3] - p[:, 3], q[:, 2] / p[:, 2]
+    # a row for each proposal, a column for each match
+    c, s = (grow * np.cos(turn))[:, None], (grow * np.sin(turn))[:, None]
+    dx, dy = p[:, 0] - p[:, :1], p[:, 1] - p[:, 1:2]
+    ok = np.hypot(q[:, :1] + c * dx - s * dy - q[:, 0], q[:, 1:2] + s * dx + c * dy - q[:, 1]) <= TOLERANCE * np.maximum(1.0, grow)[:, None]
+    ok &= np.abs((turn - turn[:, None] + math.pi) % (2 * math.pi) - math.pi) < 0.5
+    agree, best, used = ok.sum(axis=1), 0, ok[0]
+    for k in np.argsort(-agree, kind="stable"):
+        if agree[k] <= best:
+            break
+        places = min(len(np.unique(np.rint(x[ok[k], :2] / 2), axis=0)) for x in (p, q))
+        if places > best:
+            best, used = places, ok[k]
+    u, v = (x[used, 0] + 1j * x[used, 1] for x in (p, q))
+    m = np.vdot(u - u.mean(), v - v.mean()) / max(np.vdot(u - u.mean(), u - u.mean()).real, 1e-9)
+    return best, complex(m), complex(v.mean() - m * u.mean())
+
+
+def likeness(a: np.ndarray, b: np.ndarray, m: complex, z: complex) -> float:
+    """Correlation of the pixels of two grey images where the transform lays a over b; -1 if that is under a tenth of b."""
+    y, x = np.mgrid[: a.shape[0], : a.shape[1]]
+    to = m * (x + 1j * y) + z
+    tx, ty = np.rint(to.real).astype(np.int64), np.rint(to.imag).astype(np.int64)
+    on = (tx >= 0) & (tx < b.shape[1]) & (ty >= 0) & (ty < b.shape[0])
+    if on.sum() * abs(m) ** 2 * 10 < b.size:
+        return -1.0
+    u, v = a[on].astype(np.float64), b[ty[on], tx[on]].astype(np.float64)
+    u, v = u - u.mean(), v - v.mean()
+    return float((u @ v) / max(math.sqrt((u @ u) * (v @ v)), 1e-9))
+
+
+def _runs(begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of n[k] numbers from begin[k] on: k of each number, and the number."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+
+
+def _parts(n: np.ndarray, most: int = 1 << 19) -> Iterator[slice]:
+    """Slices of runs of n[k] numbers, each of about `most` numbers together."""
+    lot = (np.cumsum(n) - n) // most
+    edges = np.flatnonzero(np.diff(lot, prepend=-1, append=-1))
+    yield from (slice(x, y) for x, y in zip(edges[:-1], edges[1:], strict=True))
+
+
+def _agreeing(p: np.ndarray, q: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Numbers of the runs of matches (n[k] from begin[k] on) in which `INLIERS` agree with one of the run's proposals."""
+    turn, grow = q[:, 3] - p[:, 3], q[:, 2] / p[:, 2]
+    c, s, reach = grow * np.cos(turn), grow * np.sin(turn), (TOLERANCE * np.maximum(1.0, grow)) ** 2
+    turn %= 2 * math.pi
+    run, match = _runs(begin, n)
+    out = []
+    for part in _parts(n[run]):
+        k, v = _runs(begin[run[part]], n[run[part]])
+        u = match[part][k]
+        off = np.abs(turn[v] - turn[u])
+        like = np.flatnonzero((off < 0.5) | (off > 2 * math.pi - 0.5))
+        like = like[np.bincount(k[like], minlength=k[-1] + 1)[k[like]] >= INLIERS]
+        k, u, v = k[like], u[like], v[like]
+        dx, dy = p[v, 0] - p[u, 0], p[v, 1] - p[u, 1]
+        ex, ey = q[u, 0] + c[u] * dx - s[u] * dy - q[v, 0], q[u, 1] + s[u] * dx + c[u] * dy - q[v, 1]
+        agree = np.bincount(k[ex * ex + ey * ey <= reach[u]])
+        out.append(run[part][np.flatnonzero(agree >= INLIERS)])
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def _compared(t: pa.Table) -> pa.Table:
+    """Copies between two blocks of images, or within the one if they are the same: all descriptors that share a cell."""
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    media, block = t.column("media_id").to_numpy(), t.column("block").to_numpy()
+    points = np.stack([t.column(c).to_numpy() for c in ("x", "y", "scale", "angle")], axis=1).astype(np.float64)
+    raw = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(media), -1)
+    code, bits = raw.view(np.uint64), np.unpackbits(raw, axis=1)
+    cells = np.stack([bits[:, key].astype(np.int64) @ (1 << np.arange(KEY_BITS, dtype=np.int64)) for key in KEYS])
+    left, right = (np.flatnonzero(block == x)[np.argsort(media[block == x], kind="stable")] for x in (i, j))
+    order = [right[np.argsort(c[right], kind="stable")] for c in cells]
+    found: list[tuple] = []
+    for rows in np.split(left, np.flatnonzero(np.diff(media[left]))[SLICE - 1 :: SLICE] + 1):
+        near = [np.zeros((2, 0), np.int64)]
+        for k, (cell, after) in enumerate(zip(cells, order, strict=True)):
+            begin = np.searchsorted(cell[after], cell[rows])
+            n = np.searchsorted(cell[after], cell[rows], "right") - begin
+            for part in _parts(n):
+                a, b = _runs(begin[part], n[part])
+                a, b = rows[part][a], after[b]
+                unlike = code[a] ^ code[b]
+                ok = np.flatnonzero((np.bitwise_count(unlike).sum(axis=1) <= NEAR) & (media[a] < media[b] if i == j else media[a] != media[b]))
+                a, b, unlike = a[ok], b[ok], unlike[ok]
+                for mask in KEY_MASKS[:k]:
+                    # what met in an earlier table is known
+                    new = (unlike & mask).any(axis=1)
+                    a, b, unlike = a[new], b[new], unlike[new]
+                near.append(np.stack([a, b]))
+        a, b = np.concatenate(near, axis=1)
+        a, b = np.where(media[a] < media[b], a, b), np.where(media[a] < media[b], b, a)
+        sort = np.lexsort((media[b], media[a]))
+        a, b = a[sort], b[sort]
+        begin = np.flatnonzero(np.append(True, (np.diff(media[a]) != 0) | (np.diff(media[b]) != 0))[: len(a)])
+        n = np.diff(np.append(begin, len(a)))
+        begin, n = begin[n >= INLIERS], n[n >= INLIERS]
+        p, q = points[a], points[b]
+        for k in _agreeing(p, q, begin, n):
+            run = slice(begin[k], begin[k] + n[k])
+            inliers, m, z = fitted(p[run], q[run])
+            if inliers >= INLIERS:
+                found.append((media[a[begin[k]]], media[b[begin[k]]], inliers, m.real, m.imag, z.real, z.imag))
+    return pa.table({c: pa.array([f[k] for f in found], pa.int64() if k < 3 else pa.float64()) for k, c in enumerate(("a", "b", "inliers", "mr", "mi", "zr", "zi"))})
+
+
+def _checked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        kept = []
+        for k, r in enumerate(batch.to_pylist()):
+            a, b = (np.frombuffer(r[f"p{x}"], np.uint8).reshape(r[f"h{x}"], r[f"w{x}"]) for x in "ab")
+            if likeness(a, b, complex(r["mr"], r["mi"]), complex(r["zr"], r["zi"])) >= LIKE:
+                kept.append(k)
+        yield batch.select(["a", "b", "inliers"]).take(pa.array(kept, pa.int64()))
+
+
+def copies(media: DataFrame, block: int = BLOCK) -> DataFrame:
     """Copies among `media` (media_id, height, width, pixels: grey bytes in rows).
 
     Returns pairs of different images, a row each: a, b (a < b: the smallest media_ids of their pixels) and inliers.
-    Every image that is linked has a row with an earlier image that it shares a cell with; copies of copies are linked
-    through it. Rows with null or impossible sizes or pixels have no copies. Equal pixels are one image.
+    All descriptors that share a cell are compared, so each pair of copies has its row, however many others either has.
+    Rows with null or impossible sizes or pixels have no copies. Equal pixels are one image.
     """
     images = stored(
         media.where("media_id is not null").groupBy(F.sha2("pixels", 256).alias("_key"), "height", "width").agg(F.min("media_id").alias("media_id"), F.first("pixels").alias("pixels")).drop("_key"), "media"
     )
     features = stored(images.select("media_id", "height", "width", "pixels").mapInArrow(_features, FEATURES), "media-features")
-    cells = features.select("media_id", "point", "code").mapInArrow(_cells, "cell BIGINT, media_id BIGINT, point INT, code BINARY")
-    # cells are dealt in lots, so that a task is called for many cells at once
-    lots = cells.withColumn("lot", F.pmod(F.xxhash64("cell"), F.lit(1024)))
-    met = lots.groupBy("lot").applyInArrow(_met, "a BIGINT, pa INT, b BIGINT, pb INT").distinct()
-    often = stored(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("pa", "pb")).alias("m")).where(F.col("n") >= INLIERS).select("a", "b", F.explode("m").alias("m")).select("a", "b", "m.pa", "m.pb"), "media-matches")
-    side = F.struct("x", "y", "scale", "angle")
-    left = features.select(F.col("media_id").alias("a"), F.col("point").alias("pa"), side.alias("p"))
-    right = features.select(F.col("media_id").alias("b"), F.col("point").alias("pb"), side.alias("q"))
-    matches = often.join(left, ["a", "pa"]).join(right, ["b", "pb"]).groupBy("a", "b").agg(F.collect_list(F.struct("p", "q")).alias("matches"))
-    return matches.mapInArrow(_verified, "a BIGINT, b BIGINT, inliers BIGINT").where(F.col("inliers") >= INLIERS)
+    n = images.count()
+    blocks = max(min(64, -(-n // block)), -(-n // (32 * block)), 1)
+    # an image goes to each pair of blocks that has its own; only copies leave a pair of blocks, not what met by chance
+    dealt = features.withColumn("block", F.pmod(F.xxhash64("media_id"), F.lit(blocks))).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("media_id", "x", "y", "scale", "angle", "code", F.col("block").cast("int").alias("block"), F.least("block", "with").cast("int").alias("i"), F.greatest("block", "with").cast("int").alias("j"))
+    found = stored(dealt.groupBy("i", "j").applyInArrow(_compared, "a BIGINT, b BIGINT, inliers BIGINT, mr DOUBLE, mi DOUBLE, zr DOUBLE, zi DOUBLE"), "media-found")
+    of = lambda x: images.select(F.col("media_id").alias(x), F.col("height").alias(f"h{x}"), F.col("width").alias(f"w{x}"), F.col("pixels").alias(f"p{x}"))
+    return found.join(of("a"), "a").join(of("b"), "b").mapInArrow(_checked, "a BIGINT, b BIGINT, inliers BIGINT")
 
 
 def members(media: DataFrame) -> DataFrame:
