@@ -34,7 +34,6 @@ def ring(n):
 
 
 def test_rows_beyond_the_bound_by_hubs(spark, monkeypatch):
-    monkeypatch.setattr(worklist.Hubbed, "FIRST", 500)
     monkeypatch.setattr(pointsto, "JOINED", 5_000)
     monkeypatch.setattr(pointsto, "_solve_rounds", lambda *a: pytest.fail("the program fits one task"))
     pts, fields, edges = sets(pointsto.solve(spark, as_facts(spark, [ring(100)]), context_limit=0, local_rows=20_000))
