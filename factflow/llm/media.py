@@ -1,15 +1,16 @@
 """Cropped and edited image copies by local descriptors.
 
-1. Corners: on each level of a pyramid the maxima of the smaller structure-tensor response; the strongest `KEYPOINTS`.
-2. Each corner is oriented by its patch's intensity centroid; 256 comparisons of smoothed pixels, turned by that angle,
-   make a binary descriptor.
+1. Corners: on each level of a pyramid the maxima of the smaller structure-tensor response; the level's strongest
+   `KEYPOINTS`.
+2. Each corner is oriented by the intensity centroid of its patch (`RADIUS`); 256 comparisons of smoothed pixels, turned
+   by that angle, make a binary descriptor. They reach out to `WIDE`: corners look alike, what surrounds them does not.
 3. Hamming tables: a descriptor goes to `TABLES` tables, in each by `KEY_BITS` of its bits; all descriptors that meet in
    a cell are compared, and linked at `NEAR` or fewer differing bits.
 4. Geometric consensus: the matches of two images each propose a turn, a scale and a shift; the images are copies if at
    least `INLIERS` matches agree with one proposal, and if their pixels, laid over each other by the transform that fits
    these matches, correlate by `LIKE` or more: plain corners agree by chance in one pair of images in a thousand.
 
-Steps 3 and 4 go by pairs of blocks of images: descriptors that met by chance are many and never leave a task.
+Steps 3 and 4 go by pairs of blocks of images: descriptors that met by chance never leave a task.
 
 Images of equal pixels are one image before all this; `members` names that image for each.
 """
@@ -27,25 +28,22 @@ from pyspark.sql import functions as F
 from factflow.llm import exact_dedup
 from factflow.llm.common import slices, stored, table
 
-SIDE, KEYPOINTS, LEVELS, RADIUS = 64, 24, 2, 7
-BITS, TABLES, KEY_BITS, NEAR, INLIERS, TOLERANCE = 256, 10, 24, 40, 4, 3.0
+SIDE, KEYPOINTS, LEVELS, RADIUS, WIDE = 64, 24, 2, 7, 16
+BITS, TABLES, KEY_BITS, NEAR, INLIERS, TOLERANCE = 256, 24, 24, 56, 4, 3.0
 
 
 def _pattern() -> tuple[np.ndarray, np.ndarray]:
-    """The comparisons: 256 pairs of offsets within the patch, and for each table the bits that make its key."""
+    """The comparisons: 256 pairs of offsets around the corner, and for each table the bits that make its key."""
     rng = np.random.default_rng(1)
-    pairs = np.clip(rng.normal(0, RADIUS / 2, (BITS, 2, 2)), -RADIUS + 1, RADIUS - 1)
+    pairs = np.clip(rng.normal(0, WIDE / 2, (BITS, 2, 2)), -WIDE + 1, WIDE - 1)
     return pairs, np.stack([rng.permutation(BITS)[:KEY_BITS] for _ in range(TABLES)])
 
 
 PAIRS, KEYS = _pattern()
-#: The bits of each table's key, laid out as descriptors are.
-KEY_MASKS = np.packbits(np.stack([np.isin(np.arange(BITS), key) for key in KEYS]), axis=1).view(np.uint64)
 #: Least correlation of the pixels of copies.
 LIKE = 0.7
-#: Images to a block at least (at most 32 times as many), and images of a block that are compared at a time.
-BLOCK, SLICE = 2048, 32
-
+#: Images to a block at least (at most 8 times as many), and meetings of descriptors that are compared at a time.
+BLOCK, MEETINGS = 2048, 1 << 22
 
 
 def _box(x: np.ndarray, r: int) -> np.ndarray:
@@ -80,10 +78,10 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not found:
         return np.zeros(0, np.int64), np.zeros((0, 4), np.float32), np.zeros((0, BITS // 8), np.uint8)
     lev, at, y, x, strength = (np.concatenate(v) for v in zip(*found, strict=True))
-    order = np.lexsort((-strength, at))
+    order = np.lexsort((-strength, lev, at))
     lev, at, y, x = lev[order], at[order], y[order], x[order]
-    first = np.searchsorted(at, np.arange(n))
-    chosen = np.arange(len(at)) - first[at] < KEYPOINTS
+    own = at * LEVELS + lev
+    chosen = np.arange(len(at)) - np.searchsorted(own, own) < KEYPOINTS
     lev, at, y, x = lev[chosen], at[chosen], y[chosen], x[chosen]
     grid = np.arange(-RADIUS, RADIUS + 1)
     disc = (grid[:, None] ** 2 + grid[None] ** 2 <= RADIUS**2).astype(np.float32)
@@ -199,46 +197,66 @@ def _agreeing(p: np.ndarray, q: np.ndarray, begin: np.ndarray, n: np.ndarray) ->
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
+def _cells(raw: np.ndarray) -> list[np.ndarray]:
+    """The cell of each descriptor in each table."""
+    out = [np.empty(len(raw), np.uint32) for _ in KEYS]
+    for at in range(0, len(raw), 1 << 16):
+        bits = np.unpackbits(raw[at : at + (1 << 16)], axis=1)
+        for cell, key in zip(out, KEYS, strict=True):
+            part = np.zeros((len(bits), 4), np.uint8)
+            part[:, : -(-KEY_BITS // 8)] = np.packbits(bits[:, key], axis=1)
+            cell[at : at + len(bits)] = part.view(np.uint32)[:, 0]
+    return out
+
+
 def _compared(t: pa.Table) -> pa.Table:
     """Copies between two blocks of images, or within the one if they are the same: all descriptors that share a cell."""
     i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-    media, block = t.column("media_id").to_numpy(), t.column("block").to_numpy()
+    t = t.take(pa.array(np.lexsort((t.column("point").to_numpy(), t.column("media_id").to_numpy()))))
+    ids, first, image = np.unique(t.column("media_id").to_numpy(), return_index=True, return_inverse=True)
+    point = np.arange(len(image)) - first[image]
+    block = t.column("block").to_numpy()
     points = np.stack([t.column(c).to_numpy() for c in ("x", "y", "scale", "angle")], axis=1).astype(np.float64)
-    raw = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(media), -1)
-    code, bits = raw.view(np.uint64), np.unpackbits(raw, axis=1)
-    cells = np.stack([bits[:, key].astype(np.int64) @ (1 << np.arange(KEY_BITS, dtype=np.int64)) for key in KEYS])
-    left, right = (np.flatnonzero(block == x)[np.argsort(media[block == x], kind="stable")] for x in (i, j))
-    order = [right[np.argsort(c[right], kind="stable")] for c in cells]
+    raw = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(image), -1)
+    code, left, right = raw.view(np.uint64), np.flatnonzero(block == i), np.flatnonzero(block == j)
+    met = []
+    for cell in _cells(raw):
+        order = right[np.argsort(cell[right], kind="stable")].astype(np.int32)
+        begin = np.searchsorted(cell[order], cell[left]).astype(np.int32)
+        met.append((order, begin, np.searchsorted(cell[order], cell[left], "right").astype(np.int32) - begin))
+    starts = np.flatnonzero(np.diff(image[left], prepend=-1))
+    load = np.add.reduceat(sum(n.astype(np.int64) for _, _, n in met), starts) if len(left) else starts
+    starts, most = np.append(starts, len(left)), KEYPOINTS * LEVELS
     found: list[tuple] = []
-    for rows in np.split(left, np.flatnonzero(np.diff(media[left]))[SLICE - 1 :: SLICE] + 1):
-        near = [np.zeros((2, 0), np.int64)]
-        for k, (cell, after) in enumerate(zip(cells, order, strict=True)):
-            begin = np.searchsorted(cell[after], cell[rows])
-            n = np.searchsorted(cell[after], cell[rows], "right") - begin
-            for part in _parts(n):
-                a, b = _runs(begin[part], n[part])
-                a, b = rows[part][a], after[b]
-                unlike = code[a] ^ code[b]
-                ok = np.flatnonzero((np.bitwise_count(unlike).sum(axis=1) <= NEAR) & (media[a] < media[b] if i == j else media[a] != media[b]))
-                a, b, unlike = a[ok], b[ok], unlike[ok]
-                for mask in KEY_MASKS[:k]:
-                    # what met in an earlier table is known
-                    new = (unlike & mask).any(axis=1)
-                    a, b, unlike = a[new], b[new], unlike[new]
-                near.append(np.stack([a, b]))
-        a, b = np.concatenate(near, axis=1)
-        a, b = np.where(media[a] < media[b], a, b), np.where(media[a] < media[b], b, a)
-        sort = np.lexsort((media[b], media[a]))
-        a, b = a[sort], b[sort]
-        begin = np.flatnonzero(np.append(True, (np.diff(media[a]) != 0) | (np.diff(media[b]) != 0))[: len(a)])
-        n = np.diff(np.append(begin, len(a)))
-        begin, n = begin[n >= INLIERS], n[n >= INLIERS]
+    for part in _parts(load, MEETINGS):
+        part = slice(starts[part.start], starts[part.stop])
+        near = [np.zeros(0, np.int64)]
+        for order, begin, n in met:
+            begin, n = begin[part], n[part]
+            for lot in _parts(n):
+                a, b = _runs(begin[lot], n[lot])
+                a, b = left[part][lot][a], order[b]
+                # descriptors of one cell differ in fewer than 256 bits, so the sum of bytes does not overflow
+                unlike = np.bitwise_count(code[a] ^ code[b])
+                ok = unlike[:, 0] + unlike[:, 1] + unlike[:, 2] + unlike[:, 3] <= NEAR
+                ok &= image[a] < image[b] if i == j else image[a] != image[b]
+                a, b = a[ok], b[ok]
+                a, b = np.where(image[a] < image[b], a, b), np.where(image[a] < image[b], b, a)
+                near.append(((image[a] * len(ids) + image[b]) * most + point[a]) * most + point[b])
+        # what met in many tables is one match
+        near = np.unique(np.concatenate(near))
+        pair = near // (most * most)
+        n = np.diff(np.append(np.flatnonzero(np.diff(pair, prepend=-1)), len(pair)))
+        near, n = near[np.repeat(n >= INLIERS, n)], n[n >= INLIERS]
+        begin = np.cumsum(n) - n
+        a = first[near // (most * most) // len(ids)] + near // most % most
+        b = first[near // (most * most) % len(ids)] + near % most
         p, q = points[a], points[b]
         for k in _agreeing(p, q, begin, n):
             run = slice(begin[k], begin[k] + n[k])
             inliers, m, z = fitted(p[run], q[run])
             if inliers >= INLIERS:
-                found.append((media[a[begin[k]]], media[b[begin[k]]], inliers, m.real, m.imag, z.real, z.imag))
+                found.append((ids[image[a[begin[k]]]], ids[image[b[begin[k]]]], inliers, m.real, m.imag, z.real, z.imag))
     return pa.table({c: pa.array([f[k] for f in found], pa.int64() if k < 3 else pa.float64()) for k, c in enumerate(("a", "b", "inliers", "mr", "mi", "zr", "zi"))})
 
 
@@ -264,10 +282,12 @@ def copies(media: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     features = stored(images.select("media_id", "height", "width", "pixels").mapInArrow(_features, FEATURES), "media-features")
     n = images.count()
-    blocks = max(min(64, -(-n // block)), -(-n // (32 * block)), 1)
+    blocks = max(min(8, -(-n // block)), -(-n // (8 * block)), 1)
     # an image goes to each pair of blocks that has its own; only copies leave a pair of blocks, not what met by chance
     dealt = features.withColumn("block", F.pmod(F.xxhash64("media_id"), F.lit(blocks))).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("media_id", "x", "y", "scale", "angle", "code", F.col("block").cast("int").alias("block"), F.least("block", "with").cast("int").alias("i"), F.greatest("block", "with").cast("int").alias("j"))
+    dealt = dealt.select("media_id", "point", "x", "y", "scale", "angle", "code", F.col("block").cast("int").alias("block"), F.least("block", "with").cast("int").alias("i"), F.greatest("block", "with").cast("int").alias("j"))
+    # some ten thousand rows for each pair of blocks, but seconds of work: partitions enough that few pairs share one
+    dealt = dealt.repartition(2 * blocks * (blocks + 1), "i", "j")
     found = stored(dealt.groupBy("i", "j").applyInArrow(_compared, "a BIGINT, b BIGINT, inliers BIGINT, mr DOUBLE, mi DOUBLE, zr DOUBLE, zi DOUBLE"), "media-found")
     of = lambda x: images.select(F.col("media_id").alias(x), F.col("height").alias(f"h{x}"), F.col("width").alias(f"w{x}"), F.col("pixels").alias(f"p{x}"))
     return found.join(of("a"), "a").join(of("b"), "b").mapInArrow(_checked, "a BIGINT, b BIGINT, inliers BIGINT")
