@@ -237,14 +237,16 @@ def _compared(t: pa.Table) -> pa.Table:
                 a, b = _runs(begin[lot], n[lot])
                 a, b = left[part][lot][a], order[b]
                 # descriptors of one cell differ in fewer than 256 bits, so the sum of bytes does not overflow
-                unlike = np.bitwise_count(code[a] ^ code[b])
-                ok = unlike[:, 0] + unlike[:, 1] + unlike[:, 2] + unlike[:, 3] <= NEAR
-                ok &= image[a] < image[b] if i == j else image[a] != image[b]
+                unlike = np.bitwise_count(code.take(a, axis=0) ^ code.take(b, axis=0))
+                ok = np.flatnonzero(unlike[:, 0] + unlike[:, 1] + unlike[:, 2] + unlike[:, 3] <= NEAR)
+                a, b = a[ok], b[ok]
+                ok = image[a] < image[b] if i == j else image[a] != image[b]
                 a, b = a[ok], b[ok]
                 a, b = np.where(image[a] < image[b], a, b), np.where(image[a] < image[b], b, a)
                 near.append(((image[a] * len(ids) + image[b]) * most + point[a]) * most + point[b])
-        # what met in many tables is one match
-        near = np.unique(np.concatenate(near))
+        # what met in many tables is one match; np.unique hashes, which takes several times as long
+        near = np.sort(np.concatenate(near))
+        near = near[np.diff(near, prepend=-1) != 0]
         pair = near // (most * most)
         n = np.diff(np.append(np.flatnonzero(np.diff(pair, prepend=-1)), len(pair)))
         near, n = near[np.repeat(n >= INLIERS, n)], n[n >= INLIERS]
