@@ -29,7 +29,7 @@ from factflow.llm import exact_dedup
 from factflow.llm.common import slices, stored, table
 
 SIDE, KEYPOINTS, LEVELS, RADIUS, WIDE = 64, 24, 2, 7, 16
-BITS, TABLES, KEY_BITS, NEAR, INLIERS, TOLERANCE = 256, 24, 24, 56, 4, 3.0
+BITS, TABLES, KEY_BITS, NEAR, INLIERS, TOLERANCE = 256, 32, 24, 56, 4, 3.0
 
 
 def _pattern() -> tuple[np.ndarray, np.ndarray]:

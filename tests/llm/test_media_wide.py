@@ -40,3 +40,11 @@ def test_meetings_are_compared_in_parts(spark, monkeypatch):
     assert whole.num_rows >= 12
     monkeypatch.setattr(media, "MEETINGS", 50)
     assert media._compared(t).sort_by([("a", "ascending"), ("b", "ascending")]).equals(whole)
+
+
+def test_a_copy_with_few_matches(spark):
+    image = media.render(602817074)
+    images = {1: image, 2: media.edited(image, 250)}
+    df = spark.createDataFrame([(k, *im.shape, bytearray(im.tobytes())) for k, im in images.items()], "media_id long, height int, width int, pixels binary")
+    # 24 tables find three of its matches, 32 find five
+    assert [(r.a, r.b) for r in media.copies(df).collect()] == [(1, 2)]
