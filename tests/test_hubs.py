@@ -40,3 +40,21 @@ def test_rows_beyond_the_bound_by_hubs(spark, monkeypatch):
     assert len(pts) == 100 * 201 and len(fields) == 100 * 100
     assert edges == {("", "M.run", "", "B.foo", 1)}
     assert {r for r in pts if r[1] == "B.foo()#this"} == {("", "B.foo()#this", "", f"M.run()@{k}") for k in range(100)}
+
+
+def test_hubs_of_one_cycle_are_merged(monkeypatch):
+    """Two rings that meet by static calls, once virtual flow is quiet, are one cycle and end with one hub."""
+    monkeypatch.setattr(worklist.Hubbed, "FIRST", 1000)
+    f, n, m = ring(200), 200, "M.run()"
+    f["assignments"] = [(a, f"{m}#v{(k + 1) % 100 + k // 100 * 100}" if kind == "COPY" else b, kind, m) for (a, b, kind, m), k in zip(f["assignments"], [k for k in range(n) for _ in range(4)], strict=True)]
+    f["assignments"].append(("Id.f(T)#return", "Id.f(T)#p0", "COPY", "Id.f(T)"))
+    f["calls"] += [("d", m, None, "f", f"{m}#v100", "Id.f(T)"), ("e", m, None, "f", f"{m}#v0", "Id.f(T)")]
+    f["arguments"] = [("d", 0, f"{m}#v0"), ("e", 0, f"{m}#v100")]
+    got = worklist.Hubbed({**f, "methods": [m]}, set(), set(), 10**6)
+    got.run()
+    assert [len(h.all) for h in got.hubs.values()] == [n]
+    name = got.object_names.__getitem__
+    hold = lambda s: {name(o) for o in s if o >= 0}.union(*({name(o) for o in got.hubs[h].all} for h in s if h < 0))
+    places = [f"{m}#{v}{k}" for v in "vw" for k in range(n)] + ["B.foo()#this", "Id.f(T)#p0", "Id.f(T)#return"]
+    pts = {("", p, "", f"{m}@{k}") for p in places for k in range(n)}
+    assert {(*p, *o) for p, s in zip(got.names, got.held, strict=True) if len(p) == 2 for o in hold(s)} == pts
